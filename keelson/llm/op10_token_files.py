@@ -47,7 +47,10 @@ class TokenFiles(NamedTuple):
 
 def train(docs: DataFrame, path: str, end: int, width: int) -> bytes:
     """The shared dictionary, or b"" where there is too little to train on."""
-    few = docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    # A hash filter first leaves about twice as many as needed, so that tasks don't each send a whole sample.
+    every = max(1, docs.count() // (2 * SAMPLE_DOCS))
+    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
+    few = some.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
     texts = [r["text"] for r in few.collect()]
     flat, at = encoder(WordEncoder, path).ids(pa.array(texts, pa.string()))
     samples = [np.append(flat[a:b], end).astype(f"<u{width}").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]

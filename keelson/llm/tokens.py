@@ -21,8 +21,8 @@ import regex
 from .common import single_thread, slices
 
 #: Chunks and pieces kept by a worker; at this bound the least recently met go. It bounds memory, not what is encoded.
-MOST_CHUNKS = 400_000
-MOST_PIECES = 200_000
+MOST_CHUNKS = 600_000
+MOST_PIECES = 300_000
 #: Characters that go the long way: beyond Latin Extended-B, controls, odd spaces, the dotted capital I, and a special token's start.
 ODD = r"[^\n\r\t -~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]|<\|"
 #: The files' own patterns of pieces (fixed values).
@@ -115,7 +115,7 @@ class WordEncoder(_Encoder):
         self.flat, self.ends, self.met, self.n = flat, ends, self.met[kept], len(kept)
 
     def _part(self, piece: str) -> tuple[int, ...]:
-        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)  # no ASCII piece holds a space
         found = self.parts[piece] = tuple([t.id for t in self.model.tokenize(shown)])
         return found
 
