@@ -151,3 +151,72 @@ def letters(text) -> F.Column:
 def single_thread() -> None:
     """Libraries that start threads of their own stay on one core in a worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+# --- groups and components ---
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches, cut anew so that no group of equal keys is divided; only the last group is held back."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not len(held):
+            continue
+        same = np.ones(len(held), bool)
+        for k in keys:
+            x = held.column(k).to_numpy()
+            same &= x == x[-1]
+        other = np.flatnonzero(~same)
+        if len(other):
+            cut = int(other[-1]) + 1
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
+def group_bounds(*columns: np.ndarray) -> np.ndarray:
+    """First row of each run of equal values, and the number of rows."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return np.append(np.flatnonzero(new), n)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of n nodes by edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """id, component (the smallest id reachable) of every node of the edges; nodes that are their own component are left out.
+
+    Large-star and small-star steps in turn: each replaces a node's edges by edges to the smallest neighbour, until only
+    stars are left. Every step is written to the shared folder; no step holds a node's neighbours in memory.
+    """
+    x, y = F.col(a), F.col(b)
+    now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before = mark
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
