@@ -60,8 +60,13 @@ def train(docs: DataFrame, path: str, end: int, width: int) -> bytes:
         return b""
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dictionary(raw: bytes, compress: bool = False) -> zstandard.ZstdCompressionDict | None:
+    if not raw:
+        return None
+    found = zstandard.ZstdCompressionDict(raw)
+    if compress:
+        found.precompute_compress(level=LEVEL)  # else every frame digests the dictionary anew
+    return found
 
 
 def write(docs: DataFrame, path: str, end: int = END) -> TokenFiles:
@@ -78,7 +83,7 @@ def write(docs: DataFrame, path: str, end: int = END) -> TokenFiles:
     bounds = np.array(sorted({int(x) for x in docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}), np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, compress = encoder(WordEncoder, path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw)).compress
+        made, compress = encoder(WordEncoder, path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw, compress=True)).compress
         for whole in batches:
             for b in text_slices(whole):
                 flat, at = made.ids(b.column("text"))

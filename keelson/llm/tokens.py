@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import gc
 import json
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -153,10 +153,11 @@ class WordEncoder(_Encoder):
             self._forget()
         if len(self.parts) > MOST_PIECES:
             self.parts.clear()
-        missing = [c for c in chunks if c not in self.codes]
-        if missing:
-            self._add(missing)
-        found = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        found = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = np.arange(self.n, self.n + len(missing))
+            self._add([chunks[i] for i in missing.tolist()])
         self.now += 1
         if len(self.met) < self.n:
             self.met = np.concatenate([self.met, np.zeros(max(self.n, 1 << 16), np.int64)])
@@ -168,7 +169,7 @@ class WordEncoder(_Encoder):
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = lists.flatten().dictionary_encode()
-        chunk = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        chunk = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         sizes = self.ends[chunk + 1] - self.ends[chunk]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         out = self.flat[np.repeat(self.ends[chunk] - ends[:-1], sizes) + np.arange(ends[-1])]
