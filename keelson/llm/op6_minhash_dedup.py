@@ -5,12 +5,15 @@ class, and the class goes on as its smallest doc_id. A signature is 48 MinHash v
 Two signatures that differ in at most 23 values have, by the pigeonhole principle, a chunk that differs in at most one;
 so each class enters, for each chunk and each of its values, a bucket named by the other three (the allowed error
 enumerated), and every pair within distance 23 shares a bucket. A pair of similarity 0.8 differs in more than 23 values
-with a chance of 2e-6, and even then mostly shares a bucket: all 12 chunks fail with a chance of 1e-9.
+with a chance of 2e-6, and even then mostly shares a bucket: all 12 chunks fail with a chance of 1e-9. Signatures only
+propose pairs; they reject none.
 
-Buckets never become all pairs. First every member is confirmed against its bucket's smallest member only, and the links
-found are joined to components. Then, until nothing is left, members of a bucket that still lie in different components
-are compared by signature within their bucket (cut into blocks, so a bucket of any size is spread over tasks), and pairs
-within the distance are confirmed. Copies and near copies of one text thus cost a number of pairs in proportion to them.
+Buckets never become all pairs. Every member is compared with its bucket's smallest member, the hub, on full sets; the
+links found are joined to components. The comparison also writes a member's set in terms of the hub's: a mask of the
+hub's shingles that it holds, and the list of its further ones. Members of one hub that then still lie in different
+components are compared by these, which is again the exact comparison of full sets, in groups of hub and pair of blocks
+(a hub of any size is spread over tasks); one link a member and component leaves a group. So no component is lost, and
+copies and near copies of one text send a number of rows in proportion to them.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; with fewer
 than k words the whole sequence is the one shingle. A row without a doc_id is linked with nothing and kept. Rows that
@@ -32,9 +35,7 @@ from .common import Words, as_signed, components, documents, grams, group_bounds
 
 VALUES = 48
 CHUNK = 4
-#: Signature distance that is guaranteed: VALUES // CHUNK chunks with one error each, and one less than a second in all.
-DISTANCE = 2 * (VALUES // CHUNK) - 1
-BLOCK = 1024
+BLOCK = 512
 #: Members that are confirmed against one text in one group of rows.
 FAN = 64
 _FLIP, _FACTOR = stream(11, VALUES), stream(12, VALUES) | np.uint64(1)
@@ -97,14 +98,15 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (id, hub) whose texts' full sets are similar enough, as a table.
+    """id, hub, linked, mask, others of every pair (id, hub), from the full sets of their texts; as a table.
 
-    Texts travel once a pair: a hub's pairs are cut into groups of about FAN, each with the hub's text.
+    mask has a bit for each of the hub's shingles in order, others holds id's further ones (8 bytes each). Texts travel
+    once a pair: a hub's pairs are cut into groups of about FAN, each with the hub's text.
     """
     pairs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("parts")), "hub")
     pairs = pairs.select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
-    needed = pairs.union(pairs.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("kind")).distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    needed = materialize(pairs.union(pairs.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("kind")).distinct()), "needed")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs = None, []
@@ -116,55 +118,78 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                     if kind == 0:
                         if at != (hub, part):
                             at, hubs = (hub, part), []
-                        hubs.append(own)
+                        hubs.append(own)  # more than one only where rows share a doc_id
                         continue
-                    for other in hubs:
-                        if not len(own) or 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
-                            continue
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(other) - both):
-                            found.append((doc, hub))
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["id", "hub"])
-
-    return materialize(texts.select("id", "hub", "part", "kind", "text").mapInArrow(run, "id long, hub long"), "confirmed")
-
-
-def open_pairs(members: DataFrame, signatures: DataFrame, parts: DataFrame) -> DataFrame:
-    """(id, hub): pairs of a bucket's members in different components whose signatures are within DISTANCE.
-
-    members: key, id; parts: id, component.
+                    linked = False
+                    for nth, other in enumerate(hubs):
+                        place = np.minimum(np.searchsorted(own, other), max(len(own) - 1, 0))
+                        held = own[place] == other if len(own) else np.zeros(len(other), bool)
+                        both = int(held.sum())
+                        linked |= both > 0 and 100 * both >= percent * (len(own) + len(other) - both)
+                        if nth == 0:
+                            further = np.ones(len(own), bool)
+                            further[place[held]] = False
+                            mask, others = np.packbits(held).tobytes(), own[further].tobytes()
+                    found.append((doc, hub, linked, mask, others))
+                columns = zip(*found, strict=True) if found else [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "hub", "linked", "mask", "others"])
+
+    return materialize(texts.select("id", "hub", "part", "kind", "text").mapInArrow(run, "id long, hub long, linked boolean, mask binary, others binary"), "confirmed")
+
+
+def more_links(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(id, hub): links between a hub's members in different components, one at least for each member and component it reaches.
+
+    tested: as from confirm(); parts: id, component.
     """
-    labelled = members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part_of"))
-    state = labelled.groupBy("key").agg(F.min("part_of").alias("a"), F.max("part_of").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("same2"))
-    # Buckets with the same members are looked at once.
-    todo = state.where("a != b").groupBy("n", "same", "same2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.join(todo, "key").withColumn("side", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    labelled = tested.drop("linked").join(parts, "id", "left").withColumn("part_of", F.coalesce("component", "id"))
+    state = labelled.groupBy("hub").agg(F.min("part_of").alias("a"), F.max("part_of").alias("b"), F.count("*").alias("n"))
+    todo = state.where("a != b").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = labelled.join(todo, "hub").withColumn("side", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
-    dealt = dealt.join(signatures, "id").select("key", "i", "j", "id", "part_of", "side", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = dealt.select("hub", "i", "j", "id", "part_of", "side", "mask", "others").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, ids, part_of, side = (t.column(c).to_numpy() for c in ("key", "i", "j", "id", "part_of", "side"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(t), VALUES)
-            bounds = group_bounds(key, i, j)
-            left, right = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                cross = i[a] != j[a]
-                for x in range(a, b - 1):
-                    rest = slice(x + 1, b)
-                    ok = part_of[rest] != part_of[x]
-                    if cross:
-                        ok &= side[rest] != side[x]
-                    at = np.flatnonzero(ok) + x + 1
-                    at = at[(sig[at] != sig[x]).sum(axis=1) <= DISTANCE]
-                    left.append(np.full(len(at), ids[x]))
-                    right.append(ids[at])
-            none = np.zeros(0, np.int64)
-            p, q = np.concatenate([none, *left]), np.concatenate([none, *right])
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["id", "hub"])
-
-    return dealt.mapInArrow(run, "id long, hub long").distinct()
+        for t in whole_groups(batches, ["hub", "i", "j"]):
+            hub, i, j, ids, part_of, side = (t.column(c).to_numpy() for c in ("hub", "i", "j", "id", "part_of", "side"))
+            bounds = group_bounds(hub, i, j)
+            found = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part, mine = part_of[a:b], side[a:b]
+                if (part == part[0]).all():
+                    continue
+                masks = [m.as_py() for m in t.column("mask")[a:b]]
+                width = max(map(len, masks))  # rows that share a doc_id may bring masks of two lengths
+                bits = np.frombuffer(b"".join(m.ljust(width, b"\0") for m in masks), np.uint8).reshape(b - a, width)
+                lists = [np.frombuffer(m.as_py(), np.uint64) for m in t.column("others")[a:b]]
+                n_others = np.array(list(map(len, lists)))
+                names, flat = np.unique(np.concatenate(lists), return_inverse=True)
+                owner, present = np.repeat(np.arange(b - a), n_others), np.zeros(len(names), bool)
+                start = np.concatenate([[0], np.cumsum(n_others)])
+                size = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) + n_others
+                values, counts = np.unique(part, return_counts=True)
+                done = np.zeros(b - a, bool)
+                for x in np.flatnonzero(part != values[counts.argmax()]).tolist():  # the largest component's rows are met from the other side
+                    done[x] = True
+                    at = np.flatnonzero((part != part[x]) & ~done & (True if i[a] == j[a] else mine != mine[x]))
+                    both = np.bitwise_count(bits[at] & bits[x]).sum(axis=1, dtype=np.int64)
+                    most = both + np.minimum(n_others[at], n_others[x])
+                    likely = 100 * most >= percent * (size[at] + size[x] - most)
+                    if not likely.any():
+                        continue
+                    at, both = at[likely], both[likely]
+                    own = flat[start[x] : start[x + 1]]
+                    present[own] = True
+                    both = both + np.bincount(owner[present[flat]], minlength=b - a)[at]
+                    present[own] = False
+                    at = at[100 * both >= percent * (size[at] + size[x] - both)]
+                    at = at[np.unique(part[at], return_index=True)[1]]
+                    found += [(ids[a + x], y) for y in ids[a + at].tolist()]
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["id", "hub"])
+
+    return dealt.mapInArrow(run, "id long, hub long")
 
 
 def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -181,17 +206,14 @@ def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFra
 
     entries = classes.select("rep", "sig").mapInArrow(keyed, "key long, id long")
     bucket = Window.partitionBy("key")
-    members = entries.withColumn("hub", F.min("id").over(bucket)).withColumn("top", F.max("id").over(bucket)).where("hub != top").drop("top")
-    members = materialize(members, "buckets")
-    stars = members.where("id != hub").select("id", "hub").distinct()
-    tested = materialize(stars, "pairs")
-    links = confirm(docs, tested, k, percent)
-    signatures = classes.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"))
+    # Only pairs of a member and its bucket's smallest one leave the buckets.
+    stars = materialize(entries.withColumn("hub", F.min("id").over(bucket)).where("id != hub").select("id", "hub").distinct(), "pairs")
+    tested = confirm(docs, stars, k, percent)
+    links = tested.where("linked").select("id", "hub")
     parts = components(links, "id", "hub")
-    more = open_pairs(members.select("key", "id"), signatures, parts).join(tested, ["id", "hub"], "left_anti")
-    more = materialize(more, "pairs")
+    more = materialize(more_links(tested, parts, percent), "links")
     if not more.isEmpty():
-        parts = components(links.union(confirm(docs, more, k, percent)), "id", "hub")
+        parts = components(links.union(more), "id", "hub")
     rows = prints.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), parts
 
