@@ -27,8 +27,11 @@ def contiguous(rows: DataFrame, applied: int) -> DataFrame:
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_a_trigger: int = 64) -> DataFrame:
-    """The segments of a store's folder as a stream of records."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path}/segments/*")
+    """The segments of a store's folder as a stream of records; a segment's number is read from its path."""
+    stored = T.StructType([f for f in schema.fields if f.name != "segment_id"])
+    rows = spark.readStream.schema(stored).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path}/segments")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"segment_id=(\d+)", 1).cast("int")
+    return rows.withColumn("segment_id", number).select([f.name for f in schema.fields])
 
 
 class Tail:
