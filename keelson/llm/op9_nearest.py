@@ -1,9 +1,9 @@
 """Nearest neighbours by collision counting: query-centred windows over sorted single projections.
 
-Rows are dealt by hash into blocks of about BLOCK rows. In a block every one of `projections` random lines has its rows'
+Rows are dealt by hash into blocks of about BLOCK rows. In a block every one of PROJECTIONS random lines has its rows'
 projections in a sorted array. A query's window on each line is centred at its own projection; windows start narrow and
-widen by `widen` (virtual rehashing), and each step counts only the rows newly covered. A row met by half of the windows
-is verified by its cosine; a query's windows stop once a part `enough` of the block has been verified. Each block gives
+widen by the factor WIDEN (virtual rehashing), and each step counts only the rows newly covered. A row met by half of the windows
+is verified by its cosine; a query's windows stop once a part ENOUGH of the block (100 rows a wanted one at least) has been verified. Each block gives
 its best rows, and the best of all blocks are the answer. Queries meet every block, in blocks of their own.
 
 Recall, measured against brute force on 51,282 rows of 64 dimensions without structure (the hardest case): 0.98.
@@ -33,7 +33,7 @@ PROJECTIONS = 128
 COLLIDE = 0.5
 WIDEN = 1.2
 NARROW = 0.2
-ENOUGH = 0.1
+ENOUGH = 0.12
 
 
 def lines(d: int, n: int) -> np.ndarray:
@@ -49,7 +49,7 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray,
     p, at = x @ a, q @ a
     order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
     p = np.take_along_axis(p.T, order, axis=1)
-    least, goal = math.ceil(COLLIDE * projections), min(n, max(math.ceil(ENOUGH * n), 40 * k))
+    least, goal = math.ceil(COLLIDE * projections), min(n, max(math.ceil(ENOUGH * n), 100 * k))
     edges: list[tuple[np.ndarray, np.ndarray]] = []  # by step: first and last rank of every query's window on each line
 
     def window(step: int) -> tuple[np.ndarray, np.ndarray]:
