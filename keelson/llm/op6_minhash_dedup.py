@@ -106,7 +106,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     pairs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("parts")), "hub")
     pairs = pairs.select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
     needed = materialize(pairs.union(pairs.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("kind")).distinct()), "needed")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.xxhash64("text"))
+    # Always a sort-merge join: the rows needed grow with the corpus, and so the plan is the same at every size.
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs = None, []
