@@ -86,6 +86,12 @@ class Replica:
     def applied(self) -> int:
         return self.store.manifest.next_seq - 1
 
+    @classmethod
+    def bootstrap(cls, primary: Any, target: str) -> Replica:
+        """A replica that starts from a backup of the primary; records after it come by apply or by start()."""
+        primary.backup(target)
+        return cls(type(primary).open(primary.spark, target))
+
     def lag(self, primary_next_seq: int) -> int:
         return max(0, primary_next_seq - 1 - self.applied)
 
@@ -106,6 +112,12 @@ class Replica:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def caught_up(query: StreamingQuery, replica: Replica, primary_next_seq: int) -> bool:
+    """Wait until all that is on disk has been taken in; whether the replica then has everything."""
+    query.processAllAvailable()
+    return not replica.gapped and replica.lag(primary_next_seq) == 0
+
+
 def live_view(stream: DataFrame, columns: list[str]) -> DataFrame:
     """The newest mutation of every key as a streaming aggregate (update mode); tombstones show as deleted."""
     newest = F.max_by(F.struct("seq", "deleted", *columns), "seq").alias("newest")

@@ -198,3 +198,29 @@ def test_tail_order_gaps_and_listener_errors(spark, tmp_path):
     failing = tail.Tail(lambda rows, gap: 1 / 0)
     failing(store.log)
     assert failing.errors == 1 and failing.last == 19
+
+
+def test_replica_from_a_backup_follows_a_stream(spark, tmp_path):
+    store = new(spark, tmp_path)
+    store.apply(batch(spark, ops(1, 100, 30)))
+    replica = tail.Replica.bootstrap(store, f"file://{tmp_path}/copy")
+    assert contents(replica.store.live) == contents(store.live) and replica.lag(store.tail_sequence()) == 0
+    stream = tail.log_stream(spark, store.files.base, store.schema)
+    query = replica.start(stream, f"file://{tmp_path}/replica-state")
+    store.apply(batch(spark, ops(2, 60, 30)))
+    try:
+        assert tail.caught_up(query, replica, store.tail_sequence())
+    finally:
+        query.stop()
+    assert contents(replica.store.live) == contents(store.live)
+
+
+@pytest.mark.parametrize("regime", ["uniform", "sequential", "skewed", "churn"])
+def test_workloads_are_repeatable(spark, tmp_path, regime):
+    from keelson.sources.workload import workload
+
+    rows = workload(spark, 500, 64, regime)
+    assert rows.collect() == workload(spark, 500, 64, regime).collect()
+    store = new(spark, tmp_path)
+    store.apply(rows)
+    assert contents(store.live) == replay([(r["key"], r["value"], r["deleted"]) for r in rows.orderBy("ordinal").collect()])
