@@ -77,8 +77,13 @@ def with_record_columns(log: DataFrame) -> DataFrame:
     return log.withColumn("value", value).withColumn("record_bytes", size.cast("long")).withColumn("crc", checksum(F.col("key"), F.col("deleted"), F.col("value")))
 
 
-def invalid(log: DataFrame) -> DataFrame:
-    """Rows that may not enter a log: null key, null value of a put, key or value over its limit."""
-    kinds = {f.name: f.dataType for f in log.schema.fields}
+def is_invalid(schema: T.StructType) -> Column:
+    """Whether a row may not enter a log: null key, null value of a put, key or value over its limit."""
+    kinds = {f.name: f.dataType for f in schema.fields}
     key, value = F.col("key"), F.col("value")
-    return log.where(key.isNull() | (~F.col("deleted") & value.isNull()) | (byte_size(key, kinds["key"]) > MOST_KEY_BYTES) | (byte_size(value, kinds["value"]) > MOST_VALUE_BYTES))
+    return key.isNull() | (~F.col("deleted") & value.isNull()) | (byte_size(key, kinds["key"]) > MOST_KEY_BYTES) | (byte_size(value, kinds["value"]) > MOST_VALUE_BYTES)
+
+
+def invalid(log: DataFrame) -> DataFrame:
+    """Rows that may not enter a log."""
+    return log.where(is_invalid(log.schema))

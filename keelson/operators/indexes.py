@@ -73,11 +73,15 @@ class IndexSet:
     def overlapping(self, live: DataFrame, name: str, lo: Any, hi: Any) -> DataFrame:
         return overlapping(live, *self._find(name, self.intervals, "interval"), lo, hi)
 
-    def rejected(self, puts: DataFrame) -> DataFrame:
-        """Rows of a batch of puts that an index refuses; a batch with any is refused as a whole."""
+    def is_rejected(self) -> Column:
+        """Whether an index refuses a put."""
         bad = F.lit(False)
         for a in self.attributes.values():
             bad = bad | a.isNull()
         for s, e in self.intervals.values():
             bad = bad | s.isNull() | e.isNull() | (s > e)
-        return puts.where(bad)
+        return bad
+
+    def rejected(self, puts: DataFrame) -> DataFrame:
+        """Rows of a batch of puts that an index refuses; a batch with any is refused as a whole."""
+        return puts.where(self.is_rejected())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.records import Options, invalid, schema, with_record_columns
+from keelson.functions.records import HEADER_BYTES, Options, byte_size, is_invalid, schema, with_record_columns
 from keelson.operators import lookup, order, resolve, space
 from keelson.operators.indexes import IndexSet
 from keelson.sources import files as sources
@@ -138,36 +138,41 @@ class Store(View):
 
     def apply(self, mutations: DataFrame) -> int:
         """Append mutations (key, value, deleted, and ordinal if their order matters) as one commit; the number of records."""
-        if not invalid(mutations).isEmpty():
-            raise ValueError("null key, null value of a put, or a key or value over its limit")
-        if not self.indexes.rejected(mutations.where(~F.col("deleted"))).isEmpty():
-            raise ValueError("an index refuses a row: null attribute or endpoint, or start after end")
         rows = mutations.orderBy("ordinal") if "ordinal" in mutations.columns else mutations
         scratch = f"scratch/{uuid.uuid4().hex}"
+        kinds = {f.name: f.dataType for f in self.schema.fields}
+        bytes_of = F.lit(HEADER_BYTES) + byte_size(F.col("key"), kinds["key"]) + F.when(F.col("deleted"), 0).otherwise(byte_size(F.col("value"), kinds["value"]))
+        checks = (is_invalid(rows.schema).alias("invalid"), (~F.col("deleted") & self.indexes.is_rejected()).alias("rejected"))
         # Written once before numbering: a task's rows are numbered as they stand, and tasks by their counts.
-        rows.select("key", "value", "deleted", F.monotonically_increasing_id().alias("place")).write.parquet(f"{self.files.base}/{scratch}")
+        rows.select("key", "value", "deleted", bytes_of.cast("long").alias("bytes"), F.monotonically_increasing_id().alias("place"), *checks).write.parquet(f"{self.files.base}/{scratch}")
         try:
             staged = self.spark.read.parquet(f"{self.files.base}/{scratch}").withColumn("task", F.shiftright("place", 33).cast("int"))
-            counts = {r["task"]: r["count"] for r in staged.groupBy("task").count().collect()}  # one row a task
-            start, total = {}, 0
-            for task in sorted(counts):
-                start[task], total = total, total + counts[task]
+            seen = staged.groupBy("task").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bool_or("invalid").alias("invalid"), F.bool_or("rejected").alias("rejected")).orderBy("task").collect()  # one row a task
+            if any(r["invalid"] for r in seen):
+                raise ValueError("null key, null value of a put, or a key or value over its limit")
+            if any(r["rejected"] for r in seen):
+                raise ValueError("an index refuses a row: null attribute or endpoint, or start after end")
+            start, total = [], 0
+            for r in seen:
+                start.append((r["task"], total))
+                total += r["n"]
             if not total:
                 return 0
-            starts = F.broadcast(self.spark.createDataFrame([(t, s) for t, s in start.items()], "task int, start long"))
+            starts = F.broadcast(self.spark.createDataFrame(start, "task int, start long"))
             nth = F.col("start") + F.col("place") - F.shiftleft(F.col("task").cast("long"), 33)
             numbered = staged.join(starts, "task").withColumn("seq", F.lit(self.manifest.next_seq) + nth)
-            self._append(numbered, total)
+            self._append(numbered, total, sum(r["bytes"] for r in seen))
         finally:
             self.files.delete(scratch)
         return total
 
-    def _append(self, numbered: DataFrame, total: int) -> None:
+    def _append(self, numbered: DataFrame, total: int, size: int | None = None) -> None:
         """Commit rows that have their seq already, the first being next_seq."""
         kinds = {f.name: f.dataType for f in self.schema.fields}
         rows = numbered.select("seq", F.col("key").cast(kinds["key"]).alias("key"), "deleted", F.col("value").cast(kinds["value"]).alias("value"), F.lit(0).alias("segment_id"))
         rows = with_record_columns(rows)
-        size = rows.agg(F.sum("record_bytes")).first()[0]
+        if size is None:
+            size = rows.agg(F.sum("record_bytes")).first()[0]
         cuts = max(1, -(-size // self.options.segment_bytes))  # about segment_bytes each, by place in the batch
         first = max((s.segment_id for s in self.manifest.segments), default=-1) + 1
         number = F.lit(first) + F.floor((F.col("seq") - F.lit(self.manifest.next_seq)) * cuts / total).cast("int")
