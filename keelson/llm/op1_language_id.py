@@ -2,7 +2,8 @@
 
 Per language, a bounded sample of labelled texts becomes a raw-content zstandard dictionary. Every whole text is
 compressed once with each dictionary; the smallest output names the language. The gap between the smallest and the
-second smallest output, as a part of the latter, is the margin; under `margin` a decision is marked rejected.
+second smallest output, as a part of the latter, is the margin; under `margin` the decision on a text that is long
+enough to tell is marked rejected.
 
 Defined results: a null or empty text, or one without a letter, gets "und", score 0, and is rejected; with no labelled
 text at all every text is "und". Ties go to the language with most labelled rows. Before compression letters are put in
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,9 @@ DICTIONARY_BYTES = 98_304
 SEARCH = {"window_log": 19, "hash_log": 17, "chain_log": 17, "search_log": 4, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
 #: Under this margin the two best languages are too close to tell.
 MARGIN = 0.002
+#: Only texts of so many bytes (letters and single spaces) are rejected for it: in shorter ones a tie shows no mixture,
+#: just that nothing was found to tell; they get the most frequent language at a low score.
+TELLING = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,9 +110,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             some = b.column("__letters").to_pylist()
             text = b.column("__plain")
             found = [model.predict(text[i].as_buffer()) if ok else ("und", 0.0, 0.0) for i, ok in enumerate(some)]
+            lengths = [0 if n is None else n for n in pc.binary_length(text).to_pylist()]
             langs, scores, margins = zip(*found, strict=True) if found else ((), (), ())
             columns = [b.column(k) for k in kept]
-            columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([k == "und" or m < margin for k, m in zip(langs, margins, strict=True)], pa.bool_())]
+            columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([k == "und" or m < margin and n >= TELLING for k, m, n in zip(langs, margins, lengths, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return flagged.mapInArrow(run, schema)
