@@ -53,12 +53,14 @@ def plain(text: Column) -> Column:
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """A raw-content dictionary for each lang of (text, lang): the sample_docs texts of lowest hash, cut to sample_chars characters."""
     counts = {r["lang"]: r["count"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count")).limit(MOST_LANGS).collect()}
-    rows = labelled.where(F.col("lang").isin(list(counts)) & letters(F.col("text"))).select("lang", plain(F.substring("text", 1, sample_chars)).alias("text"))
-    # Texts are drawn by the hash of a salted slot first, so that no task sees all texts of a language.
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(3))).withColumn("salt", F.pmod("h", F.lit(64)))
-    per = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "text"))
-    few = rows.withColumn("n", per).where(F.col("n") <= sample_docs // 8).drop("n", "salt")
-    drawn = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= sample_docs)
+    if not counts:
+        return {}
+    # A hash filter leaves about four times the sample of each language, and copies of a text become one on the way, so
+    # neither all texts nor a hot one meet anywhere.
+    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (4 * sample_docs)))])
+    rows = labelled.where(F.col("lang").isin(list(counts)) & letters(F.col("text"))).withColumn("h", F.xxhash64("text", F.lit(3)))
+    few = rows.where(F.pmod("h", every[F.col("lang")]) == 0).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    drawn = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs).withColumn("text", plain(F.col("text")))
     found: dict[str, list[str]] = {}
     for r in drawn.orderBy("lang", "n").collect():
         found.setdefault(r["lang"], []).append(r["text"])
@@ -66,9 +68,9 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     for lang, texts in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0])):
         raw = "\n".join(dict.fromkeys(texts)).encode()
         out[lang] = raw[:DICTIONARY_BYTES]
-    # Equal bounds for all languages, else the larger dictionary wins by its size alone.
-    least = min(map(len, out.values()), default=0)
-    return {k: v[:least] for k, v in out.items()}
+    # Equal bounds, else the larger dictionary wins by its size alone; but a rare language doesn't starve the others.
+    most = max(min(map(len, out.values()), default=0), DICTIONARY_BYTES // 4)
+    return {k: v[:most] for k, v in out.items()}
 
 
 class Classifier:
