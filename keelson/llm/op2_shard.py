@@ -1,11 +1,11 @@
 """Sharding by vector bin packing: bytes, tokens (words) and rows of the shards are balanced jointly.
 
 Rows with equal texts form a group and stay together. Only a group that outweighs a whole shard in some dimension is
-split, into pieces of a quarter of a shard by a hash of the row (else no law of near equal sizes could hold); every other
-group falls by the hash of its text into one of PARCELS parcels. Parcels and pieces are the items, at most PARCELS + 9 * SPLIT * shards of
-them whatever the input, and only their three sums reach the driver. Longest first, each item goes to the shard where
-the dot product of its size with the shard's residual capacity is highest, among shards that it doesn't overfill in
-bytes. Slots follow from the sums: an item's first slot is the sum of the rows of its shard's earlier items.
+split, into pieces of a parcel's size by a hash of the row (else no law of near equal sizes could hold); every other
+group falls by the hash of its text into one of PARCELS parcels. Parcels and pieces are the items, at most about
+4 * PARCELS of them whatever the input, and only their three sums reach the driver. Longest first, each item goes to the
+shard where the dot product of its size with the shard's residual capacity is highest, among shards that it doesn't
+overfill in bytes. Slots follow from the sums: an item's first slot is the sum of the rows of its shard's earlier items.
 
 Defined results: a null text has 0 bytes, no words and CRC 0, and all null texts are one group, apart from the empty
 text's. Ties and repeated rows are ordered by doc_id, then by the row's hash, and each has a slot of its own. An empty
@@ -22,10 +22,8 @@ from pyspark.sql.window import Window
 from .common import documents, materialize
 
 SHARDS = 40
-#: Hash parcels of light groups: a parcel holds about 1/400 of a shard.
+#: Hash parcels of light groups: a parcel holds about 1/400 of a shard, and so does a piece of a group that outweighs one.
 PARCELS = 16_384
-#: Pieces of a group that outweighs a shard are about 1 / SPLIT of a shard.
-SPLIT = 4
 ROW_OVERHEAD = 16
 
 
@@ -74,7 +72,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, parcels: int = PARCELS) -> Data
     # A group over a bound holds 1 / shards of a total at least: at most 3 * shards groups.
     heavy = rows.groupBy("group").agg(*sums).where((F.col("size") > bounds[0]) | (F.col("tokens") > bounds[1]) | (F.col("rows") > bounds[2])).where("rows > 1").collect()
     pieces = spark.createDataFrame(
-        [(h["group"], int(min(h["rows"], max(-(-SPLIT * h[c] // b) for c, b in zip(("size", "tokens", "rows"), bounds, strict=True)) + 1))) for h in heavy],
+        [(h["group"], int(min(h["rows"], max(-(-parcels * h[c] // (b * shards)) for c, b in zip(("size", "tokens", "rows"), bounds, strict=True)) + 1))) for h in heavy],
         "group long, pieces int",
     )
     keyed = rows.join(F.broadcast(pieces), "group", "left").withColumn("parcel", F.pmod("group", F.lit(parcels)).cast("int"))
