@@ -318,3 +318,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT r, doc_id, s, list_slice(ws, s, s + 19) AS k FROM (SELECT r, doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w)),
+rep AS (SELECT r, s FROM (SELECT *, min({'d': doc_id, 's': s}) OVER (PARTITION BY k) AS f FROM win) WHERE {'d': doc_id, 's': s} > f),
+words AS (SELECT r, doc_id, j, ws[j] AS word FROM (SELECT r, doc_id, ws, unnest(generate_series(1, len(ws))) AS j FROM w)),
+marked AS (SELECT words.*, max(rep.s) OVER (PARTITION BY words.r ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN rep ON rep.r = words.r AND rep.s = words.j),
+sums AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN sums USING (r)
+"""

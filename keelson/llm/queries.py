@@ -19,4 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_url_filter": op3_url_filter.ORACLE,
+    "op4_substring_dedup": op4_substring_dedup.ORACLE,
+    "op5_embedding_dedup": op5_embedding_dedup.ORACLE,
+    "op6_minhash_dedup": op6_minhash_dedup.ORACLE,
 }

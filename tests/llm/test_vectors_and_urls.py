@@ -193,3 +193,17 @@ def test_pipeline_stages(spark):
         docs = out
         kept.append(len(after))
     assert pipeline.run(spark, sf).select("doc_id").distinct().count() == kept[-1]
+
+
+@pytest.mark.parametrize("name", ["op3_url_filter", "op4_substring_dedup", "op5_embedding_dedup", "op6_minhash_dedup"])
+def test_registered_query_equals_its_sql(spark, name):
+    from keelson.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{sf}/{f}'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want))
