@@ -23,8 +23,8 @@ def segment_stats(log: DataFrame) -> DataFrame:
     """segment_id, records, bytes, garbage_bytes, active; active is the newest segment."""
     dead = F.sum(F.when(F.col("dead"), F.col("record_bytes")).otherwise(0)).cast("long").alias("garbage_bytes")
     stats = _marked(log).groupBy("segment_id").agg(F.count("*").alias("records"), F.sum("record_bytes").cast("long").alias("bytes"), dead)
-    newest = log.agg(F.max("segment_id").alias("__newest"))
-    return stats.crossJoin(F.broadcast(newest)).select("segment_id", "records", "bytes", "garbage_bytes", (F.col("segment_id") == F.col("__newest")).alias("active"))
+    newest = F.max("segment_id").over(Window.partitionBy(F.lit(0)))  # one row a segment
+    return stats.withColumn("active", F.col("segment_id") == newest)
 
 
 def garbage(log: DataFrame) -> DataFrame:

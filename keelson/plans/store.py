@@ -188,10 +188,9 @@ class Store(View):
 
     def delete_all(self, keys: DataFrame) -> DataFrame:
         """Append a tombstone for every key, live or not; key, existed as of before."""
-        before = lookup.existed(self.log, keys.select("key")).select("key", "existed")
-        found = self.spark.createDataFrame(before.collect(), before.schema) if keys.count() <= 10_000 else before
+        before = lookup.existed(self.log, keys.select("key")).select("key", "existed")  # of the files there are now
         self.apply(keys.withColumn("value", F.lit(None).cast(self.schema["value"].dataType)).withColumn("deleted", F.lit(True)))
-        return found
+        return before
 
     def put(self, key: Any, value: Any) -> None:
         self.put_all(self.spark.createDataFrame([(key, value)], T.StructType([self.schema["key"], self.schema["value"]])))
