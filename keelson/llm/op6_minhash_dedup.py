@@ -80,7 +80,7 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a 128-bit hash of the set), sig; as a table."""
+    """doc_id, text_hash, n_shingles, s1 and s2 (a 128-bit hash of the set), sig; as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,12 +89,12 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
                 sums = [as_signed(np.array([x.sum(dtype=np.uint64) if how == 0 else mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)) for how in (0, 1)]
                 sig = [signature(x).tobytes() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "sig"],
+                    [b.column("doc_id"), b.column("text_hash"), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sig, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sig"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig binary"), "fingerprints")
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, s1 long, s2 long, sig binary"), "fingerprints")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def more_links(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(prints, parts): prints has doc_id, n_shingles and rep (the class, null if linked with nothing); parts has id and component of linked classes."""
+    """(prints, parts): prints has doc_id, text_hash, n_shingles and rep (the class, null if linked with nothing); parts has id and component of linked classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = fingerprints(docs, k)
     classes = prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
@@ -216,19 +216,19 @@ def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFra
     if not more.isEmpty():
         parts = components(links.union(more), "id", "hub")
     rows = prints.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), parts
+    return rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), parts
 
 
 def dedup(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, text_hash (xxhash64 of the text, to tell rows that share a doc_id), n_shingles, component_id, kept for every row."""
     prints, parts = link(docs, k, percent)
     rows = prints.join(parts, F.col("rep") == F.col("id"), "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    rows = rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir), k=2)
+    return dedup(documents(spark, sf_dir), k=2).drop("text_hash")
 
 
 ORACLE = r"""

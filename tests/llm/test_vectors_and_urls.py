@@ -207,3 +207,11 @@ def test_registered_query_equals_its_sql(spark, name):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{sf}/{f}'")
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want))
+
+
+def test_rows_that_share_a_doc_id_are_dropped_one_by_one(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(3, "one two three four five six seven"), (5, "a clean text of its own that stays as it is"), (5, "ONE two three four five six seven"), (None, "one two three four five six seven"), (7, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
