@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near copies."""
-    gone = op6_minhash_dedup.dedup(docs, SHINGLE, PERCENT).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = op6_minhash_dedup.dedup(docs, SHINGLE, PERCENT).where("NOT kept").select("doc_id", "text_hash").distinct()
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(gone.hint("merge"), ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
