@@ -130,13 +130,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None =
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     each = materialize(classes.mapInArrow(hashed, f"embedding {kind}, rep long, size long, keys array<long>"), "vector-keys")
-    entries = each.select("rep", "size", "embedding", "keys", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = each.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").count()
-    blocks = counts.where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # Buckets are counted and cut without the vectors, which join last and travel to buckets once.
+    entries = each.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    blocks = entries.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("key", "rep", "size", "embedding", "keys", "side", other.alias("o")).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "rep", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+    dealt = dealt.join(each, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
