@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts give it: space and 0x09 to 0x0D. All other bytes belong to words.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SLICE_BYTES = 2_000_000
+#: Bytes of text that are hashed at once.
+STRETCH = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,9 +121,17 @@ class Words:
             after[-1], after[:-1] = False, inside[1:]
             after[bounds[1:][bounds[1:] > 0] - 1] = False
         self.end = np.flatnonzero(inside & ~after) + 1
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[self.data] * powers(_BASE, size), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * powers(_INVERSE, size + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        values = _LOWER if lower else _BYTE
+        self.hash = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):  # a very long text goes in stretches, which bounds memory and changes no hash
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + STRETCH)))
+            low, high = self.start[i], self.end[j - 1]
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(values[self.data[low:high]] * powers(_BASE, high - low), out=sums[1:])
+            start, end = self.start[i:j] - low, self.end[i:j] - low
+            self.hash[i:j] = mix((sums[end] - sums[start]) * powers(_INVERSE, high - low + 1)[start] + (end - start).astype(np.uint64))
+            i = j
         self.first = np.searchsorted(self.start, bounds)
 
     def counts(self) -> np.ndarray:

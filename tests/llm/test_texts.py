@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from keelson.llm import common, tokens
 from keelson.llm import op1_language_id as lang
 from keelson.llm import op2_shard as shard
 from keelson.llm import op4_substring_dedup as sub
@@ -18,7 +19,6 @@ from keelson.llm import op6_minhash_dedup as near
 from keelson.llm import op7_sentencepiece as piece
 from keelson.llm import op8_pack as pack
 from keelson.llm import op10_token_files as tokens_out
-from keelson.llm import tokens
 from keelson.llm.common import Words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -31,7 +31,7 @@ def words(text):
     return WHITE.findall(text or "")
 
 
-def test_words_are_cut_and_hashed_alike_everywhere():
+def test_words_are_cut_and_hashed_alike_everywhere(monkeypatch):
     texts = [*ODD, "one two\tone", "two  one\n"]
     w = Words(pa.array(texts))
     assert w.counts().tolist() == [len(words(t)) for t in texts]
@@ -43,6 +43,8 @@ def test_words_are_cut_and_hashed_alike_everywhere():
     low = Words(pa.array(["ABC é", "abc É"]), lower=True).hash.tolist()
     assert low[0] == low[2] and low[1] != low[3]  # only A-Z are lowered
     assert len(Words(pa.array([], pa.string())).hash) == 0
+    monkeypatch.setattr(common, "STRETCH", 5)
+    assert Words(pa.array(texts)).hash.tolist() == w.hash.tolist()
 
 
 # --- language ID ---
