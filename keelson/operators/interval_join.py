@@ -18,6 +18,8 @@ def as_long(c: Column, kind: T.DataType) -> Column:
         return F.unix_micros(c.cast("timestamp"))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"endpoints must be integers, dates or timestamps, not {kind.simpleString()}")
     return c.cast("long")
 
 

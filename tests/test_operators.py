@@ -157,6 +157,14 @@ def test_interval_join_of_nothing(spark):
     assert interval_join.stab_join(none, spark.createDataFrame([(1,)], "point long"), 10).count() == 0
 
 
+def test_interval_join_refuses_fractions_and_clashing_widths(spark):
+    some = spark.createDataFrame([(1, 0.5, 1.5)], "key long, start double, end double")
+    with pytest.raises(TypeError):
+        interval_join.stab_join(some, spark.createDataFrame([(1,)], "point long"), 10)
+    with pytest.raises(ValueError):
+        interval_join.overlap_join(some, some, 0)
+
+
 def test_space(log, rows):
     live = {v[0] for v in replay(rows).values()}
     stats = {r["segment_id"]: r for r in space.segment_stats(log).collect()}
