@@ -227,7 +227,8 @@ def tree_repeats(h: np.ndarray, first: np.ndarray, d: np.ndarray, start: np.ndar
 def grow_trees(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     """d, t, start, n of the repeats among needed runs."""
     per_text = needed.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
-    joined = docs.select("d", "t", "text").join(per_text, ["d", "t"])
+    # All columns, though only three are used: the shuffle of docs is then the same as the last join's, and done once.
+    joined = docs.join(per_text, ["d", "t"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
