@@ -74,6 +74,20 @@ def test_language_edge_cases(spark, documents):
     assert lang.identify(odd.limit(0), model).count() == 0 and lang.learn(odd.select("text", "lang")) == {}
 
 
+def test_narrow_margins_are_rejected_and_clean_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang.learn(docs.where(~lang.held_out(F.col("doc_id"))).select("text", "lang"))
+    clean = [r for r in docs.where(lang.held_out(F.col("doc_id"))).orderBy("doc_id").collect() if len(r["text"] or "") >= 200]
+    rng = random.Random(5)
+    unknown = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(200)]
+    pairs = [rng.sample(clean, 2) for _ in range(600)]
+    mixed = [f"{a['text'][:n]} {b['text'][:n]}" for a, b in pairs for n in [min(len(a["text"]), len(b["text"]), 1000)] if a["lang"] != b["lang"]]
+    sets = {"clean": [r["text"] for r in clean], "unknown": unknown, "mixed": mixed}
+    rows = spark.createDataFrame([(k, t) for k, v in sets.items() for t in v], "kind string, text string").repartition(8)
+    share = {r["kind"]: r["part"] for r in lang.identify(rows, model).groupBy("kind").agg(F.avg(F.col("rejected").cast("int")).alias("part")).collect()}
+    assert share["clean"] <= 0.01 and share["unknown"] >= 0.97 and share["mixed"] >= 0.15
+
+
 # --- sharding ---
 
 
