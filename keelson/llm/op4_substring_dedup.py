@@ -34,9 +34,8 @@ from .common import _BASE, _INVERSE, Words, as_signed, documents, grams, materia
 
 LENGTH = 20
 GRAM = 5
-#: A prefix with more occurrences than this is frequent; they are counted in every SAMPLEth document (by hash of doc_id).
+#: A prefix with more occurrences than this, in all documents, is frequent.
 FREQUENT = 512
-SAMPLE = 16
 #: Frequent prefixes that are broadcast at most (8 bytes each), most frequent first. It shapes groups, not results.
 MOST_FREQUENT = 1_000_000
 #: Runs whose trees are built at once.
@@ -47,9 +46,6 @@ _PLACE = np.uint64((1 << 20) - 1)
 
 def frequent_prefixes(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
     """Sorted hashes of GRAM-word sequences that occur too often to name a group."""
-    every = SAMPLE if docs.count() > SAMPLE * 1000 else 1
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
@@ -62,8 +58,8 @@ def frequent_prefixes(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
                 found, n = np.unique(g[inside], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(as_signed(found)), pa.array(n)], names=["gram", "n"])
 
-    counts = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") * every > FREQUENT).orderBy(F.desc("n")).limit(MOST_FREQUENT).select("gram").toArrow()
+    counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n")).limit(MOST_FREQUENT).select("gram").toArrow()
     return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -105,7 +101,7 @@ def runs_of(h: np.ndarray, first: np.ndarray, frequent: np.ndarray, length: int)
 
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
     """d, t, start, n, key, hash of the first of equal runs of each batch; key is null for the later ones, which are repeats."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent_prefixes(docs.select(F.col("d").alias("doc_id"), "text"), length))
+    held = docs.sparkSession.sparkContext.broadcast(frequent_prefixes(docs, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value

@@ -181,6 +181,14 @@ def test_one_very_long_text_and_none(documents):
     assert none.count() == 0 and none.columns.count("kept_text") == 1
 
 
+def test_a_phrase_hot_in_one_document_of_many_is_frequent(spark):
+    # 16,500 documents; each of the last three holds a phrase of its own in 600 contexts.
+    hot = [(16_500 + i, " ".join(f"p{i}a p{i}b p{i}c p{i}d p{i}e x{i}y{j}" for j in range(600))) for i in range(3)]
+    docs = spark.range(16_500).selectExpr("id AS doc_id", "concat_ws(' ', id, id + 1, id + 2, id + 3, id + 4, id + 5) AS text").union(spark.createDataFrame(hot, "doc_id long, text string"))
+    want = [common.grams(Words(pa.array([t])).hash, sub.GRAM)[0] for _, t in hot]
+    assert set(want) <= set(sub.frequent_prefixes(docs))
+
+
 def test_substring_query_hashes_kept_words(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = Counter(tuple(r) for r in sub.query(spark, "/root/testdata/sf0.001").select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
