@@ -20,9 +20,11 @@ STRETCH = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="keelson-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,7 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.__dict__["written"] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.__dict__["written"])
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, or the first longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +243,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if mark == before or not mark[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = mark
-        both = now.union(now.select("v", "u"))
+        old, both = now, now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)

@@ -2,13 +2,15 @@
 
 Per language, a bounded sample of labelled texts becomes a raw-content zstandard dictionary. Every whole text is
 compressed once with each dictionary; the smallest output names the language. The gap between the smallest and the
-second smallest output, as a part of the latter, is the margin; under `margin` the decision on a text that is long
-enough to tell is marked rejected.
+second smallest output, as a part of the latter, is the margin; a decision under `margin` is marked rejected, whatever
+the text's length. (Sizes are whole bytes, so in a text of a few words it is an exact tie that is rejected.)
 
 Defined results: a null or empty text, or one without a letter, gets "und", score 0, and is rejected; with no labelled
-text at all every text is "und". Ties go to the language with most labelled rows. Before compression letters are put in
+text at all every text is "und". Ties go to the language with most labelled rows, and are rejected. Every labelled
+language is learned. Before compression letters are put in
 lower case and whatever is between them becomes one space, so that shouting and junk marks tell nothing. Repeated rows are each predicted; an empty
-table gives no row. Long texts are compressed whole. Only text is an input of a prediction.
+table gives no row. Long texts are compressed whole. Only text is an input of a prediction. Columns of the input named as
+the results are replaced; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,30 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, letters
+from .common import documents, fresh, letters
 
-#: Bound of the labelled sample, for each language: documents, and characters of a document.
+#: Bounds of the labelled sample, for each language: documents drawn, characters of a document, and bytes of all of them
+#: together, which is the dictionary; what is drawn beyond these bytes isn't used. zstandard's window covers them.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 2_000
-#: Languages learned, the most frequent ones: a bound of the model's size, far above what labels hold.
-MOST_LANGS = 400
-#: Bytes of one dictionary; zstandard's window at this level covers them.
 DICTIONARY_BYTES = 98_304
 #: zstandard's parameters: matches from four bytes, searched lazily; on held-out rows this errs six times less than level 3.
 SEARCH = {"window_log": 19, "hash_log": 17, "chain_log": 17, "search_log": 4, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
 #: Under this margin the two best languages are too close to tell. Of 0.002, 0.005, 0.01, 0.015, 0.02, 0.03 and 0.05
-#: it is the largest that loses less than 1 % of held-out rows of TELLING bytes or more on sf0.01, sf0.1 and check_s each.
+#: it is the largest that loses less than 1 % of held-out rows of 64 bytes or more on sf0.01, sf0.1 and check_s each.
 MARGIN = 0.02
-#: Only texts of so many bytes (letters and single spaces) are rejected for it: in shorter ones a tie shows no mixture,
-#: just that nothing was found to tell; they get the most frequent language at a low score.
-TELLING = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +49,7 @@ def plain(text: Column) -> Column:
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """A raw-content dictionary for each lang of (text, lang): the sample_docs texts of lowest hash, cut to sample_chars characters."""
-    counts = {r["lang"]: r["count"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count")).limit(MOST_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()}  # one number a language
     if not counts:
         return {}
     # A hash filter leaves about four times the sample of each language, and copies of a text become one on the way, so
@@ -68,10 +64,15 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     out = {}
     for lang, texts in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0])):
         raw = "\n".join(dict.fromkeys(texts)).encode()
-        out[lang] = raw[:DICTIONARY_BYTES]
+        out[lang] = _head(raw, DICTIONARY_BYTES)
     # Equal bounds, else the larger dictionary wins by its size alone; but a rare language doesn't starve the others.
     most = max(min(map(len, out.values()), default=0), DICTIONARY_BYTES // 4)
-    return {k: v[:most] for k, v in out.items()}
+    return {k: _head(v, most) for k, v in out.items()}
+
+
+def _head(raw: bytes, most: int) -> bytes:
+    """The first `most` bytes, without a character cut in two."""
+    return raw[:most].decode(errors="ignore").encode()
 
 
 class Classifier:
@@ -105,18 +106,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     held = spark.sparkContext.broadcast(dictionaries)  # bounded: DICTIONARY_BYTES a language
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     kept, names = docs.columns, schema.names
-    flagged = docs.withColumn("__letters", letters(F.col("text"))).withColumn("__plain", plain(F.col("text")))
+    some_letters, plain_text = fresh(docs.columns, "letters"), fresh(docs.columns, "plain")
+    flagged = docs.withColumn(some_letters, letters(F.col("text"))).withColumn(plain_text, plain(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(held.value)
         for b in batches:
-            some = b.column("__letters").to_pylist()
-            text = b.column("__plain")
+            some = b.column(some_letters).to_pylist()
+            text = b.column(plain_text)
             found = [model.predict(text[i].as_buffer()) if ok else ("und", 0.0, 0.0) for i, ok in enumerate(some)]
-            lengths = [0 if n is None else n for n in pc.binary_length(text).to_pylist()]
             langs, scores, margins = zip(*found, strict=True) if found else ((), (), ())
             columns = [b.column(k) for k in kept]
-            columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([k == "und" or m < margin and n >= TELLING for k, m, n in zip(langs, margins, lengths, strict=True)], pa.bool_())]
+            columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([k == "und" or m < margin for k, m in zip(langs, margins, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return flagged.mapInArrow(run, schema)
