@@ -1,10 +1,14 @@
 """URL filtering by host-suffix and path-prefix rules (DataFrame functions only).
 
-Each url is expanded into every (host suffix, path prefix) expression that a rule could name, expressions are joined
-with the rules on the first four bytes of their SHA-256, and the full digests then confirm. The longest rule wins.
+Each url is expanded into every (host suffix, path prefix) expression that a rule could name. Expressions and rules are
+equi-joined on the first PREFIX bytes of their SHA-256 alone; a prefix brings the list of its rules, in which the full
+digests then confirm, and the longest confirmed rule wins.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and gets the default
-verdict. Repeated pages each get a row. An empty table gives no row. Further columns of the input are not returned.
+verdict. Of rules of equal length (host and path together) the one with the longer host wins, then the later in the order
+(host, path, verdict). Rules and urls may be of any length; a url has as many expressions as it has host labels times
+rule path lengths that it reaches. Repeated pages each get a row. An empty table gives no row. Further columns of the
+input are not returned.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from pyspark.sql import functions as F
 
 #: Rules of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Rules up to this many are broadcast (about 150 bytes each: 15 MB); more are joined by a shuffle.
-BROADCAST_RULES = 100_000
-#: Longest rule path that is looked at; it bounds the expressions of a url.
-MOST_PATH = 2048
+#: Bytes of a digest that expressions and rules are joined on.
+PREFIX = 4
+#: Rules whose hosts, paths and digests take so many bytes at most are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -36,28 +40,33 @@ def _digest(host: Column, path: Column) -> Column:
     return F.unhex(F.sha2(F.concat(host, F.lit("\n"), path), 256))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix: int = PREFIX) -> DataFrame:
     """page_id, host, path, rule, verdict for every page; rules: rule_host, rule_path, rule_verdict."""
-    n_rules, lengths = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("rule_path")))).first()
-    lengths = [x for x in lengths or [] if x <= MOST_PATH]
+    held = F.octet_length("rule_host") + F.octet_length("rule_path") + 100
+    size, lengths = rules.agg(F.coalesce(F.sum(held), F.lit(0)), F.sort_array(F.collect_set(F.length("rule_path")))).first()
     host, path = split_url(F.col("url"))
-    page = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
+    page = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).drop("url")
+    default_row = ("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not lengths:
-        return page.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = rules.where(F.length("rule_path") <= MOST_PATH).withColumn("rule_digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("rule_bucket", F.substring("rule_digest", 1, 4))
-    # The urls that share host and path have one answer: each pair is expanded once, so a hot host meets the rules once a path.
-    pairs = page.groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
+        return page.select(*default_row)
+    digest = _digest(F.col("rule_host"), F.col("rule_path"))
+    rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("length"), F.length("rule_host").alias("host_length"), "rule_host", "rule_path", "rule_verdict")
+    keyed = rules.select(F.substring(digest, 1, prefix).alias("bucket"), F.struct(digest.alias("digest"), rank.alias("rank")).alias("rule")).groupBy("bucket").agg(F.collect_set("rule").alias("rules"))
+    # Urls without a host fit nothing and go no further; those that share host and path have one answer, so each pair
+    # is expanded once, and a hot host meets the rules once a path.
+    named = page.where(F.col("host") != "")
+    pairs = named.groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
     both = F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: _digest(h, p))))
-    expressions = pairs.where(F.col("host") != "").select("host", "path", F.explode(both).alias("digest")).withColumn("bucket", F.substring("digest", 1, 4))
-    on = (F.col("bucket") == F.col("rule_bucket")) & (F.col("digest") == F.col("rule_digest"))
-    found = expressions.join(F.broadcast(keyed) if n_rules <= BROADCAST_RULES else keyed, on)
-    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_host", "rule_path", "rule_verdict")
-    best = found.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    expressions = pairs.select("host", "path", F.explode(both).alias("digest")).withColumn("bucket", F.substring("digest", 1, prefix))
+    met = expressions.join(F.broadcast(keyed) if size <= BROADCAST_BYTES else keyed, "bucket")
+    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("digest"))
+    best = met.select("host", "path", F.array_max(F.transform(confirmed, lambda r: r["rank"])).alias("best")).where("best IS NOT NULL").groupBy("host", "path").agg(F.max("best").alias("best"))
     answer = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
-    return page.join(answer, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = named.join(answer, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.union(page.where(F.col("host") == "").select(*default_row))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
