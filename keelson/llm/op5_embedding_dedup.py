@@ -8,12 +8,12 @@ and those at the threshold are links. A pair counts only in the smallest bucket
 once. Buckets over BLOCK rows are cut into blocks, and each pair of blocks is a group of its own, so that no task gets
 an unbounded bucket; links leave a task as a count a vector and a spanning forest, never as all pairs.
 
-Recall: with two hashes, eight tables and probes, a pair at cosine 0.9 exactly is missed with a chance of 0.0004, and the
-chance falls quickly above it. From `hashes_for` up, hashes grow with the logarithm of the number of rows and tables with them.
+Vectors of each length are hashed and compared among themselves, with hashes and tables of their own number: from
+`hashes_for` on hashes grow with the logarithm of the number of rows, and tables with them.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components link
-with nothing. Rows that repeat a vec_id are vectors of their own. An empty table gives no row. Only vec_id and the
-vector are read; other columns aren't returned.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
+different lengths aren't linked. Rows that repeat a vec_id are vectors of their own. An empty table gives no row. Only
+vec_id and the vector are read; other columns aren't returned.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, group_bounds, local_roots, materialize, stream, whole_groups
-from .vectors import dimension, matrix, unit, usable
+from .common import components, discard, group_bounds, local_roots, materialize, mix, stream, whole_groups
+from .vectors import by_length, dimensions, unit, usable
 
 THRESHOLD = 0.9
 TABLES = 8
+#: Tables grow by this factor with each further hash.
+GROWTH = 2.0
 BLOCK = 1024
 #: Rows a bucket is meant to hold on average at most.
 PER_BUCKET = 16
@@ -40,6 +42,10 @@ def hashes_for(rows: int, d: int) -> int:
     return max(2, math.ceil(math.log(max(rows / PER_BUCKET, 2)) / math.log(2 * d)))
 
 
+def tables_for(hashes: int) -> int:
+    return math.ceil(TABLES * GROWTH ** (hashes - 2))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row, times 1 / sqrt(width); the width is a power of two."""
     n, d = x.shape
@@ -56,7 +62,7 @@ def signs(seed: int, d: int) -> np.ndarray:
 
 
 def keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
-    """tables * (1 + hashes) bucket keys of each row: own bucket first, then the probes."""
+    """tables * (1 + hashes) bucket keys of each row: own bucket first, then the probes. Rows of different lengths share none."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), width))
     padded[:, : x.shape[1]] = x
@@ -74,9 +80,9 @@ def keys(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
             b = size.argmax(axis=1)
             second.append(2 * b + (y[rows, b] > 0))
         for changed in (None, *range(hashes)):
-            key = np.full(len(x), t, np.uint64)
+            key = np.full(len(x), t << 32 | x.shape[1], np.uint64)
             for k in range(hashes):
-                key = key * np.uint64(2 * width) + (second if k == changed else first)[k].astype(np.uint64)
+                key = mix(key + (second if k == changed else first)[k].astype(np.uint64) + np.uint64(1))
             out.append(key.view(np.int64))
     return np.stack(out, axis=1)
 
@@ -116,17 +122,17 @@ def links_within(x: np.ndarray, bounds: np.ndarray, side: np.ndarray, cross: np.
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, counts): members has vec_id, rep and size of each usable row's class; counts has id (a class), n (linked rows of other classes) and root (an edge of the links)."""
-    rows, d = dimension(vectors, "embedding")
-    hashes = hashes or hashes_for(rows, d)
-    tables = tables or math.ceil(TABLES * 1.6 ** (hashes - 2))
-    valid = vectors.where(usable(F.col("embedding")) & (F.size("embedding") == d)).select("vec_id", "embedding")
-    classes = valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    use = {d: (n, hashes or hashes_for(n, d)) for d, n in dimensions(vectors, "embedding").items()}
+    valid = vectors.where(usable(F.col("embedding"))).select("vec_id", "embedding")
+    classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "vectors")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = keys(unit(matrix(b.column("embedding"), d)), tables, hashes) if len(b) else np.zeros((0, 1), np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "keys"])
+            for at, x in by_length(b.column("embedding")):
+                h = use[x.shape[1]][1]
+                found = keys(unit(x), tables or tables_for(h), h)
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, lists], names=[*b.schema.names, "keys"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     each = materialize(classes.mapInArrow(hashed, f"embedding {kind}, rep long, size long, keys array<long>"), "vector-keys")
@@ -139,24 +145,27 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None =
     dealt = dealt.join(each, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, side, rep, size = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "rep", "size"))
-            bounds = group_bounds(key, i, j)
-            a, b = links_within(unit(matrix(t.column("embedding"), d)), bounds, side, (i != j)[bounds[:-1]], threshold)
-            all_keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            keep = np.zeros(len(a), bool)
-            for s in range(0, len(a), 20_000):
-                p, q = all_keys[a[s : s + 20_000]], all_keys[b[s : s + 20_000]]
-                shared = (p[:, :, None] == q[:, None, :]).any(axis=2)
-                keep[s : s + 20_000] = np.where(shared, p, np.iinfo(np.int64).max).min(axis=1) == key[a[s : s + 20_000]]
-            a, b = a[keep], b[keep]
-            n = np.zeros(len(t), np.int64)
-            np.add.at(n, a, size[b])
-            np.add.at(n, b, size[a])
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(rep[local_roots(len(t), a, b)][some])], names=["id", "n", "root"])
+        for chunk in whole_groups(batches, ["key", "i", "j"]):
+            for at, x in by_length(chunk.column("embedding")):  # a group's vectors are of one length
+                t = chunk if len(at) == len(chunk) else chunk.take(pa.array(at))
+                key, i, j, side, rep, size = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "rep", "size"))
+                bounds = group_bounds(key, i, j)
+                a, b = links_within(unit(x), bounds, side, (i != j)[bounds[:-1]], threshold)
+                all_keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+                keep = np.zeros(len(a), bool)
+                for s in range(0, len(a), 20_000):
+                    p, q = all_keys[a[s : s + 20_000]], all_keys[b[s : s + 20_000]]
+                    shared = (p[:, :, None] == q[:, None, :]).any(axis=2)
+                    keep[s : s + 20_000] = np.where(shared, p, np.iinfo(np.int64).max).min(axis=1) == key[a[s : s + 20_000]]
+                a, b = a[keep], b[keep]
+                n = np.zeros(len(t), np.int64)
+                np.add.at(n, a, size[b])
+                np.add.at(n, b, size[a])
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(rep[local_roots(len(t), a, b)][some])], names=["id", "n", "root"])
 
     found = materialize(dealt.mapInArrow(compare, "id long, n long, root long"), "vector-links")
+    discard(each)
     return valid.join(classes, "embedding").select("vec_id", "rep", "size"), found
 
 
@@ -167,8 +176,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, **how: int) -> DataF
     parts = components(found, "id", "root").withColumnRenamed("id", "cid")
     of_class = members.join(links, members["rep"] == links["id"], "left").join(parts, F.col("rep") == F.col("cid"), "left")
     linked = of_class.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    _, d = dimension(vectors, "embedding")
-    alone = vectors.where(~(usable(F.col("embedding")) & (F.size("embedding") == d))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = vectors.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

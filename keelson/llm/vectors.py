@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,10 +16,20 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dimension(vectors: DataFrame, column: str) -> tuple[int, int]:
-    """(rows, dimension) of usable vectors; the dimension is the most frequent one, and other lengths take no part."""
-    r = vectors.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return (r["count"], r["d"]) if r else (0, 1)
+def dimensions(vectors: DataFrame, column: str) -> dict[int, int]:
+    """Usable vectors of each length, the most frequent length first; vectors of different lengths have nothing to do with each other."""
+    rows = vectors.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).count().collect()  # one row a length
+    return {r["d"]: r["count"] for r in sorted(rows, key=lambda r: (-r["count"], r["d"]))}
+
+
+def by_length(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, their float64 rows) for each length of the lists of a column, whose components are all finite."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        yield at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), d)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
