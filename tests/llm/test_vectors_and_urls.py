@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -58,15 +59,38 @@ def test_links_equal_brute_force(spark, monkeypatch, seed, block):
         assert got == want
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("d", "hashes", "least"), [(64, 2, 0.997), (64, 3, 0.997), (64, 4, 0.997), (256, 2, 0.99), (256, 3, 0.99)])
+def test_recall_at_the_threshold(d, hashes, least):
     rng = np.random.default_rng(3)
-    a = rng.standard_normal((4000, 64))
+    a = rng.standard_normal((2000, d))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.standard_normal(a.shape)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = same.keys(a, same.TABLES, 2), same.keys(b, same.TABLES, 2)
-    assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() >= 0.997
+    x, y = (same.keys(v, same.tables_for(hashes), hashes) for v in (a, b))
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)]) >= least
+
+
+def mixed_lengths():
+    rows = clusters(4, n=120) + [(2_000_000 + i, v[:3]) for i, v in clusters(5, n=60)]
+    return rows + [(4_000_001, [1.0]), (4_000_002, [5.0]), (4_000_003, [-1.0]), (4_000_004, [0.0, 0.0]), (4_000_005, None)]
+
+
+def test_vectors_of_every_length_take_part(spark):
+    rows = table(spark, mixed_lengths()).select("vec_id", "embedding")
+    con = duckdb.connect()
+    arrow = rows.toArrow()  # noqa: F841 - read by name
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM arrow")
+    want = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({same.ORACLE})").fetchall()
+    got = [tuple(r) for r in same.dedup(rows).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(want) and dict((r[0], r[1]) for r in got)[4_000_001] == 1
+    found = {}
+    for r in near.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    size = {i: len(v or []) for i, v in mixed_lengths()}
+    asked = [i for i in size if i % 50 == 0]
+    assert set(found) == set(asked) and {size[q] for q in asked} >= {3, 64}
+    assert all(len(v) == 5 and {size[x] for x in v} == {size[q]} for q, v in found.items())
 
 
 def odd_vectors():
@@ -145,18 +169,35 @@ def brute_url(url):
     return (host, path, *((max(fit)[1] + max(fit)[2], max(fit)[3]) if fit else (None, "allow")))
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_urls_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(urls, "BROADCAST_RULES", most)  # 0: rules are shuffled, not broadcast
+@pytest.mark.parametrize(("most", "prefix"), [(100_000, 4), (0, 4), (0, 0), (100_000, 0)])
+def test_urls_equal_brute_force(spark, monkeypatch, most, prefix):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", most)  # 0: rules are shuffled, not broadcast
     rng = random.Random(3)
     every = ODD_URLS + [f"http://{rng.choice(['', 'a.', 'b.c.'])}{rng.choice(['com', 'example.com', 'net', 'example.net', 'org', 'orgs'])}/{rng.choice(['en', 'de', 'es', 'e'])}/{rng.choice(['', '7', '8', '78/x?q=/en/'])}" for _ in range(300)]
     pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(every + every[:5])], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("digest", F.lit(2))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.rules_frame(spark, urls.RULES)).collect()}
+    # With a prefix of no bytes every rule collides with every expression, and only full digests tell them apart.
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.rules_frame(spark, urls.RULES), prefix=prefix).collect()}
     assert got == {i: brute_url(u) for i, u in enumerate(every + every[:5])}
     assert urls.filter_urls(pages.limit(0), urls.rules_frame(spark, urls.RULES)).count() == 0
     assert {r["verdict"] for r in urls.filter_urls(pages, urls.rules_frame(spark, []), "block").collect()} == {"block"}
 
 
+def test_rules_join_on_the_prefix_alone(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
+    plan = urls.filter_urls(pages, urls.rules_frame(spark, urls.RULES))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "bucket" in line]
+    assert len(joins) == 1 and re.search(r"Join \[bucket#\d+\], \[bucket#\d+\], Inner", joins[0])
+
+
+def test_rules_of_any_length_and_ties(spark):
+    long = "/" + "x" * 3000
+    rules = urls.rules_frame(spark, [("com", long, "block"), ("com", "/a/b", "block"), ("a.com", "/a", "allow"), ("com", "/a/b", "allow")])
+    pages = spark.createDataFrame([(1, f"http://com{long}y"), (2, f"http://com{long[:-1]}"), (3, "http://a.com/a/b"), (4, "http://com/a/b"), (5, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
+    # a.com/a and com/a/b are equally long: the longer host wins; of two verdicts for one rule, the later by name.
+    assert got == {1: ("com" + long, "block"), 2: (None, "allow"), 3: ("a.com/a", "allow"), 4: ("com/a/b", "block"), 5: (None, "allow")}
+
+
 def test_url_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
