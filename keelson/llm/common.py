@@ -66,6 +66,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that attach() broadcasts at most.
+HOTTEST = 100_000
+
+
+def attach(rows: DataFrame, counted: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with counted (a table with one row a key, and n, its number of rows), inner or left.
+
+    The HOTTEST keys of largest n are broadcast. Where there are more, rows of the others meet in a sort-merge join: none
+    of these keys then holds more than 1 / HOTTEST of the rows, so no task gets a hot key at any size.
+    """
+    top = counted.select("n").orderBy(F.desc("n")).limit(HOTTEST + 1).agg(F.count("*").alias("keys"), F.min("n").alias("least")).first()
+    if top["keys"] <= HOTTEST:
+        return rows.join(F.broadcast(counted), key, how)
+    hot = F.broadcast(counted.where(F.col("n") > top["least"]))  # fewer than HOTTEST
+    rest = counted.where(F.col("n") <= top["least"]).hint("merge")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key, how))
+
+
 # --- words of Arrow string columns, without a Python object per word ---
 
 

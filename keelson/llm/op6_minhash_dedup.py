@@ -8,11 +8,13 @@ enumerated), and every pair within distance 23 shares a bucket. A pair of simila
 with a chance of 2e-6, and even then mostly shares a bucket: all 12 chunks fail with a chance of 1e-9. Signatures only
 propose pairs; they reject none.
 
-Buckets never become all pairs. Every member is compared with its bucket's smallest member, the hub, on full sets; the
-links found are joined to components. The comparison also writes a member's set in terms of the hub's: a mask of the
+Buckets never become all pairs. A bucket's smallest member, the hub, is a partial aggregate; every member is compared
+with it on full sets, and the links found are joined to components. Buckets and hubs are found again by joins in which
+the hottest keys are broadcast (a bounded number, see common.attach), so that no task gets all rows of one. The comparison also writes a member's set in terms of the hub's: a mask of the
 hub's shingles that it holds, and the list of its further ones. Members of one hub that then still lie in different
 components are compared by these, which is again the exact comparison of full sets, in groups of hub and pair of blocks
-(a hub of any size is spread over tasks); one link a member and component leaves a group. So no component is lost, and
+(a hub of any size is spread over tasks, and rows of its largest component only meet others); one link a member and
+component leaves a group. So no component is lost, and
 copies and near copies of one text send a number of rows in proportion to them.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing; with fewer
@@ -29,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Words, as_signed, components, documents, grams, group_bounds, materialize, mix, slices, stream, whole_groups
+from .common import Words, as_signed, attach, components, discard, documents, grams, group_bounds, materialize, mix, slices, stream, whole_groups
 
 VALUES = 48
 CHUNK = 4
@@ -103,8 +104,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     mask has a bit for each of the hub's shingles in order, others holds id's further ones (8 bytes each). Texts travel
     once a pair: a hub's pairs are cut into groups of about FAN, each with the hub's text.
     """
-    pairs = pairs.join(pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).alias("parts")), "hub")
-    pairs = pairs.select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    large = materialize(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > FAN), "large-hubs")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / FAN)
+    pairs = attach(pairs, large, "hub", "left").select("id", "hub", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("kind"))
     needed = materialize(pairs.union(pairs.select(F.col("hub").alias("id"), "hub", "part", F.lit(0).alias("kind")).distinct()), "needed")
     # Always a sort-merge join: the rows needed grow with the corpus, and so the plan is the same at every size.
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", F.xxhash64("text"))
@@ -136,7 +138,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "hub", "linked", "mask", "others"])
 
-    return materialize(texts.select("id", "hub", "part", "kind", "text").mapInArrow(run, "id long, hub long, linked boolean, mask binary, others binary"), "confirmed")
+    found = materialize(texts.select("id", "hub", "part", "kind", "text").mapInArrow(run, "id long, hub long, linked boolean, mask binary, others binary"), "confirmed")
+    discard(large, needed)
+    return found
 
 
 def more_links(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -145,10 +149,17 @@ def more_links(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     tested: as from confirm(); parts: id, component.
     """
     labelled = tested.drop("linked").join(parts, "id", "left").withColumn("part_of", F.coalesce("component", "id"))
-    state = labelled.groupBy("hub").agg(F.min("part_of").alias("a"), F.max("part_of").alias("b"), F.count("*").alias("n"))
-    todo = state.where("a != b").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.join(todo, "hub").withColumn("side", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
+    each = labelled.groupBy("hub", "part_of").agg(F.count("*").alias("n"))
+    state = each.groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part_of")).alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    # Rows of the largest component (main) have blocks of their own, after the others', and meet only the others.
+    todo = state.where("most.n < n").select("hub", "n", F.col("most.part_of").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("few"), blocks(F.col("most.n")).alias("many"))
+    todo = materialize(todo, "split-hubs")
+    drawn = F.xxhash64("id", F.lit(3))
+    dealt = attach(labelled, todo, "hub").withColumn("is_main", F.col("part_of") == F.col("main"))
+    dealt = dealt.withColumn("side", F.when(F.col("is_main"), F.col("few") + F.pmod(drawn, F.col("many"))).otherwise(F.pmod(drawn, F.col("few"))).cast("int"))
+    meets = F.when(F.col("is_main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), meets - 1))).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
     dealt = dealt.select("hub", "i", "j", "id", "part_of", "side", "mask", "others").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +217,10 @@ def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFra
             yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(sig).ravel()), pa.array(np.repeat(b.column("rep").to_numpy(), VALUES))], names=["key", "id"])
 
     entries = classes.select("rep", "sig").mapInArrow(keyed, "key long, id long")
-    bucket = Window.partitionBy("key")
+    shared = materialize(entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
     # Only pairs of a member and its bucket's smallest one leave the buckets.
-    stars = materialize(entries.withColumn("hub", F.min("id").over(bucket)).where("id != hub").select("id", "hub").distinct(), "pairs")
+    stars = materialize(attach(entries, shared, "key").where("id != hub").select("id", "hub").distinct(), "pairs")
+    discard(shared)
     tested = confirm(docs, stars, k, percent)
     links = tested.where("linked").select("id", "hub")
     parts = components(links, "id", "hub")
