@@ -3,21 +3,25 @@
 A window is `length` consecutive words; it is a repeat if the same words also start earlier (a smaller doc_id, or the
 same document further left). Only suffixes that can share `length` words with another are ever brought together:
 
-1. Prefix groups. Every window names one of its GRAM-word sequences, the one of smallest hash, as its prefix; equal
-   windows name the same one. Neighbouring windows that name the same occurrence form a run, a stretch of text that
-   carries all their suffixes. Frequent prefixes are set aside (counted beforehand): a window takes one only if it
-   holds no other, and then its prefix is lengthened to the whole window. So prefixes vary in length and groups stay
-   small, a common phrase or a text copied by the thousand included.
-2. Equal runs collapse, first within a batch, then in their group: all but the earliest are repeats as they stand.
-3. Groups in which different runs are left get the runs' text. There a suffix tree is built by prefix doubling (nodes at
-   depths 1, 2, 4, 8, 16 and `length`); nodes at `length` with two leaves or more are the deep internal ones, and all
-   leaves but the earliest are repeats.
-4. Repeats return to their documents, and words covered by one go.
+1. Prefix groups. Suffixes don't travel one by one (`length` words each would be about twenty times the input). Each
+   window is carried by one sampled suffix: the one that starts, within the window, at its GRAM-word sequence of smallest
+   hash, so that equal windows are carried by suffixes with the same GRAM-word prefix. Neighbouring windows of one
+   sampled suffix form a run, a stretch of text that holds all suffixes starting in it. The prefix names the run's group.
+2. Prefixes are of variable length. Those that hold a large part of the corpus are known beforehand (HOT_PARTS) and aren't
+   taken where a window offers another; and a group of more than GROUP different runs, whatever the reason, is split by
+   lengthening its prefix to whole windows. So groups fit in memory, a common phrase or a text copied by the thousand
+   included.
+3. Equal runs collapse, first within a batch, then in their group: all but the earliest are repeats as they stand.
+4. Groups in which different runs are left get the runs' text, and a compacted suffix tree of all suffixes of `length`
+   words or more. The shallowest internal nodes `length` deep or more are the roots of what repeats: of the leaves below
+   one, all but the earliest are repeats. Deep nodes with different words before their leaves are the maximal repeats.
+5. Repeats return to their documents, and words covered by one go.
 
 Memory holds a batch of runs or a chunk of groups, never a document set. Defined results: a null text has no words; texts
 under `length` words keep all. Words are cut at ASCII white space and kept words joined by one space. Rows without a
 doc_id come after all others. Rows with equal doc_id and text are one occurrence, and neither removes from the other.
-An empty table gives no row. Other columns pass through untouched, whatever their names.
+A long text is cut into runs in stretches, whole. An empty table gives no row. Other columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,22 +34,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _INVERSE, Words, as_signed, documents, grams, materialize, mix, powers, slices, whole_groups
+from .common import _BASE, _INVERSE, Words, as_signed, discard, documents, grams, group_bounds, materialize, mix, powers, slices, whole_groups
 
 LENGTH = 20
 GRAM = 5
-#: A prefix with more occurrences than this, in all documents, is frequent.
+#: A prefix is frequent if it has more occurrences than FREQUENT and one of HOT_PARTS equal parts of all or more; so there
+#: are at most HOT_PARTS of them (8 bytes each). A batch reports what holds one of BATCH_PARTS parts of it, so that a
+#: prefix with two such parts of the corpus is surely found. This keeps tasks even; results and memory don't rest on it.
 FREQUENT = 512
-#: Frequent prefixes that are broadcast at most (8 bytes each), most frequent first. It shapes groups, not results.
-MOST_FREQUENT = 1_000_000
+HOT_PARTS = 100_000
+BATCH_PARTS = 5_000
+#: Different runs of a group at most; a larger group is split by lengthening its prefix.
+GROUP = 8_192
 #: Runs whose trees are built at once.
 CHUNK = 20_000
 _LAST = (1 << 63) - 1
+REPEAT, SMALL, LARGE = 1, 2, 3
 _PLACE = np.uint64((1 << 20) - 1)
 
 
-def frequent_prefixes(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
-    """Sorted hashes of GRAM-word sequences that occur too often to name a group."""
+def frequent_prefixes(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of GRAM-word sequences that occur too often to name a group, counted over all texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
@@ -56,13 +66,30 @@ def frequent_prefixes(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
                     ends = w.first[1:-1] - back
                     inside[ends[(ends >= 0) & (ends < len(g))]] = False
                 found, n = np.unique(g[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(as_signed(found)), pa.array(n)], names=["gram", "n"])
+                total = int(n.sum())
+                many = n * BATCH_PARTS >= total
+                yield pa.RecordBatch.from_arrays([pa.array([*as_signed(found[many]).tolist(), None], pa.int64()), pa.array([*n[many].tolist(), total], pa.int64())], names=["gram", "n"])
 
     counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n")).limit(MOST_FREQUENT).select("gram").toArrow()
+    counts = materialize(counts, "prefix-counts")
+    total = counts.where("gram IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where(F.col("gram").isNotNull() & (F.col("n") > FREQUENT) & (F.col("n") * HOT_PARTS >= total)).select("gram").toArrow()
+    discard(counts)
     return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """digest(s, n): a hash of the words of n windows from word s on, alike wherever they stand."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
+    back = powers(_INVERSE, len(h) + 1)
+
+    def digest(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix((sums[s + n + length - 1] - sums[s]) * back[s] + n.astype(np.uint64))
+
+    return digest
+
+
 def runs_of(h: np.ndarray, first: np.ndarray, frequent: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, start word in row, windows, group key, hash) of the runs in rows of word hashes; at most 2 ** 20 words."""
     g = grams(h, GRAM)
@@ -82,13 +109,7 @@ def runs_of(h: np.ndarray, first: np.ndarray, frequent: np.ndarray, length: int)
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     valid = np.flatnonzero(rows[:windows] == rows[length - 1 :])
     chosen = order[valid]
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
-    back = powers(_INVERSE, len(h) + 1)
-
-    def digest(s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return mix((sums[s + n + length - 1] - sums[s]) * back[s] + n.astype(np.uint64))
-
+    digest = window_hashes(h, length)
     alone = (chosen >> np.uint64(63)).astype(bool)
     new = np.ones(len(valid), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (valid[1:] != valid[:-1] + 1) | alone[1:]
@@ -101,7 +122,7 @@ def runs_of(h: np.ndarray, first: np.ndarray, frequent: np.ndarray, length: int)
 
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
     """d, t, start, n, key, hash of the first of equal runs of each batch; key is null for the later ones, which are repeats."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent_prefixes(docs, length))
+    held = docs.sparkSession.sparkContext.broadcast(frequent_prefixes(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value
@@ -133,25 +154,26 @@ def find_runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def split_groups(runs: DataFrame) -> DataFrame:
-    """d, t, start, n, key: key is null for repeats; the other rows are those of groups with different runs. A table."""
+    """d, t, start, n, key, kind: REPEAT for repeats; SMALL and LARGE for the different runs of groups with more than one, by the group's size. A table."""
     spread = F.coalesce("key", F.xxhash64("d", "start"))
     dealt = runs.repartition(spread).sortWithinPartitions("key", "hash", "d", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d", "t", "start", "n", "key"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        # What goes on from batch to batch: the last key and hash, the earliest of that run, and the only run so far of that key.
-        key_at = hash_at = earliest = only = None
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        # What goes on from batch to batch: the last key and hash, and the earliest of that run; the last group's
+        # different runs while they aren't too many; and the key of a group that was too large already.
+        key_at = hash_at = earliest = large = None
+        held = [np.zeros(0, t.to_pandas_dtype()) for t in types]
 
-        def rows(columns: list, repeat: np.ndarray | None = None) -> pa.RecordBatch:
-            mask = [None] * 4 + [repeat]
-            return pa.RecordBatch.from_arrays([pa.array(c, k, mask=m) for c, k, m in zip(columns, kinds, mask, strict=True)], names=names)
+        def rows(columns: list, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, types, strict=True)], pa.array(kind.astype(np.int32))], names=[*names, "kind"])
 
         for b in batches:
             ready = b.column("key").is_null().to_numpy(zero_copy_only=False)
             if ready.any():
                 done = b.filter(pa.array(ready))
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([*[done.column(c) for c in names], pa.array(np.full(len(done), REPEAT, np.int32))], names=[*names, "kind"])
                 b = b.filter(pa.array(~ready))
             if not len(b):
                 continue
@@ -161,67 +183,107 @@ def split_groups(runs: DataFrame) -> DataFrame:
             new[0] = (key[0], hashes[0]) != (key_at, hash_at)
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             lead_d, lead_start = np.where(lead < 0, earliest[0] if earliest else 0, d[lead]), np.where(lead < 0, earliest[1] if earliest else 0, start[lead])
-            repeat = ~new & ((d != lead_d) | (start != lead_start))
-            # Runs that stand first: those of a key with a second one are needed.
+            repeat = np.flatnonzero(~new & ((d != lead_d) | (start != lead_start)))
+            yield rows([x[repeat] for x in (d, t, start, n, key)], np.full(len(repeat), REPEAT))
             at = np.flatnonzero(new)
-            k = key[at]
-            goes_on = k == key_at if key_at is not None else np.zeros(len(k), bool)
-            several = np.zeros(len(k), bool)
-            several[1:] |= k[1:] == k[:-1]
-            several[:-1] |= k[1:] == k[:-1]
-            several |= goes_on
-            if goes_on.any() and only is not None:
-                yield rows([np.array([x]) for x in only])
-                only = None
-            kept = several.copy()
-            last_alone = len(k) and not several[-1]
-            out = np.concatenate([np.flatnonzero(repeat), at[kept]])
-            yield rows([d[out], t[out], start[out], n[out], key[out]], repeat[out])
-            if len(k) and k[-1] != key_at:
-                only = (d[at[-1]], t[at[-1]], start[at[-1]], n[at[-1]], key[at[-1]]) if last_alone else None
             if len(at):
                 earliest = (d[at[-1]], start[at[-1]])
             key_at, hash_at = key[-1], hashes[-1]
+            each = [np.concatenate([x, y[at]]) for x, y in zip(held, (d, t, start, n, key), strict=True)]
+            bounds = group_bounds(each[4])
+            sizes = np.diff(bounds)
+            kind = np.where(sizes > GROUP, LARGE, np.where(sizes > 1, SMALL, 0))
+            if len(sizes):
+                kind[each[4][bounds[:-1]] == large] = LARGE
+                if kind[-1] == LARGE:
+                    large = each[4][-1]
+                else:  # the last group may go on
+                    kind[-1] = 0
+            last = bounds[-2] if len(sizes) and kind[-1] != LARGE else bounds[-1]
+            of_row = np.repeat(kind, sizes)
+            out = np.flatnonzero(of_row)
+            yield rows([x[out] for x in each], of_row[out])
+            held = [x[last:] for x in each]
+        if len(held[0]) > 1:
+            yield rows(held, np.full(len(held[0]), SMALL))
+
+    return materialize(dealt.mapInArrow(run, "d long, t int, start int, n int, key long, kind int"), "runs")
+
+
+class SuffixTree:
+    """A compacted tree of the suffixes of word sequences (sequence i is h[first[i]:first[i + 1]]) that have `least` words or more.
+
+    Leaves stand in suffix order: run and offset say where each starts. common[i] is the number of words that leaf i shares
+    with the leaf before it; internal nodes are the intervals of leaves between smaller values, which are their depths.
+    """
 
-    return materialize(dealt.mapInArrow(run, "d long, t int, start int, n int, key long"), "runs")
+    def __init__(self, h: np.ndarray, first: np.ndarray, least: int = 1):
+        sizes = np.diff(first)
+        of = np.repeat(np.arange(len(sizes)), sizes + 1)
+        begin = first[:-1] + np.arange(len(sizes))  # a terminator of its own ends each sequence
+        place = np.arange(len(of)) - begin[of] if len(of) else np.zeros(0, np.int64)
+        is_word = place < sizes[of]
+        words, ids = np.unique(h, return_inverse=True)
+        rank = np.empty(len(of), np.int64)
+        rank[is_word], rank[~is_word] = ids, len(words) + np.arange(len(sizes))
+        levels = [rank]  # level k numbers the stretches of 2 ** k words; a stretch past a terminator has a number of its own
+        while 1 << len(levels) <= (int(sizes.max()) if len(sizes) else 0):
+            m = 1 << len(levels) - 1
+            follows = np.full(len(rank), -1)
+            follows[:-m] = rank[m:]
+            rank = np.unique((rank << 32) + follows + 1, return_inverse=True)[1]
+            levels.append(rank)
+        suffixes = np.flatnonzero(is_word & (sizes[of] - place >= least)) if len(of) else place
+        m = 1 << len(levels) - 1
+        order = np.lexsort((rank[np.minimum(suffixes + m, len(rank) - 1)], rank[suffixes])) if len(suffixes) else suffixes
+        suffixes = suffixes[order]
+        self.run, self.offset = of[suffixes], place[suffixes]
+        self.common = np.zeros(len(suffixes), np.int64)
+        a, b = suffixes[:-1].copy(), suffixes[1:].copy()
+        for k in reversed(range(len(levels))):
+            same = levels[k][a] == levels[k][b]
+            a[same] += 1 << k
+            b[same] += 1 << k
+        self.common[1:] = b - suffixes[1:]
+        self.before = np.where(self.offset > 0, levels[0][np.maximum(suffixes - 1, 0)], -1 - np.arange(len(suffixes)))
+
+    def roots(self, depth: int) -> np.ndarray:
+        """For each leaf the number of the shallowest node above it that is `depth` deep or more; a leaf without one has a number of its own."""
+        return np.cumsum(self.common < depth) - 1
+
+    def nodes(self, depth: int) -> list[tuple[int, int, int]]:
+        """(first leaf, leaf after the last, depth) of the internal nodes `depth` deep or more."""
+        out, stack = [], []
+        for i, c in enumerate([*self.common.tolist(), 0]):
+            at = i - 1
+            while stack and stack[-1][1] > c:
+                at, deep = stack.pop()
+                if deep >= depth:
+                    out.append((at, i, deep))
+            if c > 0 and (not stack or stack[-1][1] < c):
+                stack.append((at, c))
+        return out
+
+    def maximal_repeats(self, depth: int) -> list[tuple[int, int, int]]:
+        """The nodes whose leaves have different words before them, or stand at the start of a sequence: they can't be extended to either side."""
+        return [(a, b, n) for a, b, n in self.nodes(depth) if len(np.unique(self.before[a:b])) > 1]
 
 
 def tree_repeats(h: np.ndarray, first: np.ndarray, d: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, offset) of the windows of runs that are not the earliest leaf below their node at depth `length`.
-
-    Prefix doubling: a node at depth 2 m is a pair of nodes at depth m; equal numbers mean equal words from there on.
-    """
-    node = np.unique(h, return_inverse=True)[1]
-    depth, nodes = 1, {}
-    while depth <= length:
-        nodes[depth] = node
-        if 2 * depth > length:
-            break
-        node = np.unique(node[:-depth] * (int(node.max()) + 1) + node[depth:], return_inverse=True)[1]
-        depth *= 2
-    at, total = 0, None
-    for depth in sorted(nodes, reverse=True):  # `length` as a sum of powers of two
-        if length - at >= depth:
-            part = nodes[depth][at:]
-            if total is None:
-                total = part
-            else:
-                m = min(len(total), len(part))
-                total = np.unique(total[:m] * (int(part.max()) + 1) + part[:m], return_inverse=True)[1]
-            at += depth
-    run = np.repeat(np.arange(len(first) - 1), np.maximum(np.diff(first) - length + 1, 0))
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(np.maximum(np.diff(first) - length + 1, 0)) - np.maximum(np.diff(first) - length + 1, 0), np.maximum(np.diff(first) - length + 1, 0))
-    leaf, place = total[first[run] + offset], start[run] + offset
-    order = np.lexsort((place, d[run], leaf))
-    ordered = leaf[order]
-    lead = order[np.searchsorted(ordered, ordered)]  # the earliest leaf of each node
-    later = (d[run][order] != d[run][lead]) | (place[order] != place[lead])
-    found = np.sort(order[later])
-    return run[found], offset[found]
-
-
-def grow_trees(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
-    """d, t, start, n of the repeats among needed runs."""
+    """(run, offset) of the windows of runs that are not the earliest leaf below their node of `length` words or more."""
+    tree = SuffixTree(h, first, length)
+    root, place = tree.roots(length), start[tree.run] + tree.offset
+    order = np.lexsort((place, d[tree.run], root))
+    root, place, of = root[order], place[order], d[tree.run][order]
+    lead = group_bounds(root)[:-1][root]  # the earliest leaf of each node
+    later = (of != of[lead]) | (place != place[lead])
+    found = order[later]
+    found = found[np.lexsort((tree.offset[found], tree.run[found]))]
+    return tree.run[found], tree.offset[found]
+
+
+def run_texts(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
+    """key, d, t, start, text of needed runs."""
     per_text = needed.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
     # All columns, though only three are used: the shuffle of docs is then the same as the last join's, and done once.
     joined = docs.join(per_text, ["d", "t"])
@@ -240,7 +302,30 @@ def grow_trees(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
                 run = pa.array([raw[x:y] for x, y in zip(w.start[a].tolist(), e.tolist(), strict=True)], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([flat.field(2), b.column("d").take(pa.array(row)), b.column("t").take(pa.array(row)), pa.array(start.astype(np.int32)), run], names=["key", "d", "t", "start", "text"])
 
-    dealt = joined.mapInArrow(texts, "key long, d long, t int, start int, text string").repartition("key").sortWithinPartitions("key")
+    return joined.mapInArrow(texts, "key long, d long, t int, start int, text string")
+
+
+def lengthened(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
+    """d, t, start, n of the repeats among the runs of groups that were too large: their prefix is now a whole window, so a group's windows are all equal."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                w = Words(b.column("text"))
+                n = np.maximum(w.counts() - length + 1, 0)
+                row = np.repeat(np.arange(len(b)), n)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                hashes = as_signed(window_hashes(w.hash, length)(w.first[row] + offset, np.ones(len(row), np.int64)))
+                d, t, start = (b.column(c).to_numpy()[row] for c in ("d", "t", "start"))
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array((start + offset).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(hashes), pa.array(hashes)], names=["d", "t", "start", "n", "key", "hash"])
+
+    each = run_texts(docs, needed, length).mapInArrow(windows, "d long, t int, start int, n int, key long, hash long")
+    return split_groups(each).where(F.col("kind") == REPEAT).select("d", "t", "start", "n")
+
+
+def grow_trees(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
+    """d, t, start, n of the repeats among needed runs, from suffix trees."""
+    dealt = run_texts(docs, needed, length).repartition("key").sortWithinPartitions("key")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_groups(batches, ["key"]):
@@ -271,7 +356,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.hash("text").alias("t"), "text", *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(others)])
     found = split_groups(find_runs(base, length))
-    repeats = found.where("key IS NULL").select("d", "t", "start", "n").union(grow_trees(base, found.where("key IS NOT NULL"), length))
+    repeats = found.where(F.col("kind") == REPEAT).select("d", "t", "start", "n").union(grow_trees(base, found.where(F.col("kind") == SMALL), length))
+    large = found.where(F.col("kind") == LARGE)
+    if not large.isEmpty():
+        repeats = repeats.union(lengthened(base, large, length))
     covered = repeats.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
     joined = base.join(covered, ["d", "t"], "left")
 
