@@ -205,6 +205,7 @@ def got_substrings(df):
 @pytest.mark.parametrize("seed", range(4))
 def test_substrings_equal_brute_force(documents, monkeypatch, seed):
     monkeypatch.setattr(sub, "FREQUENT", [512, 3, 20, 1][seed])  # few frequent prefixes, or most of them
+    monkeypatch.setattr(sub, "GROUP", [8192, 8192, 2, 5][seed])  # groups that fit, or prefixes that must be lengthened
     rng = random.Random(seed)
     passages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(10, 60))] for _ in range(6)]
     rows = []
@@ -217,6 +218,58 @@ def test_substrings_equal_brute_force(documents, monkeypatch, seed):
     assert got_substrings(sub.dedup_substrings(documents(rows))) == brute_substrings(rows, 20)
 
 
+def brute_repeats(sequences, least):
+    """(words, times) of every maximal repeat: extending it to either side loses an occurrence."""
+    at = defaultdict(list)
+    for i, w in enumerate(sequences):
+        for a in range(len(w)):
+            for b in range(a + least, len(w) + 1):
+                at[tuple(w[a:b])].append((i, a, b))
+    out = set()
+    for k, places in at.items():
+        before = {sequences[i][a - 1] if a else (i, "start") for i, a, _ in places}
+        after = {sequences[i][b] if b < len(sequences[i]) else (i, "end") for i, _, b in places}
+        if len(places) > 1 and len(before) > 1 and len(after) > 1:
+            out.add((k, len(places)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deep_nodes_are_the_maximal_repeats(seed):
+    rng = random.Random(seed)
+    common = [rng.choice("abc") for _ in range(25)]
+    sequences = []
+    for _ in range(rng.randrange(1, 9)):
+        a = rng.randrange(20)
+        sequences.append([rng.choice("ab") for _ in range(rng.randrange(0, 12))] + common[a : a + rng.randrange(0, 25)] + [rng.choice("abc") for _ in range(rng.randrange(0, 9))])
+    names = {c: np.uint64(hash((c, seed)) & (2**64 - 1)) for c in "abc"}
+    h = np.array([names[c] for w in sequences for c in w], np.uint64)
+    first = np.concatenate([[0], np.cumsum([len(w) for w in sequences])])
+    for least in (1, 3):
+        tree = sub.SuffixTree(h, first, least)
+        leaf = [sequences[i][o:] for i, o in zip(tree.run.tolist(), tree.offset.tolist(), strict=True)]
+        assert len(leaf) == sum(max(len(w) - least + 1, 0) for w in sequences)
+        for x, y, n in zip(leaf[:-1], leaf[1:], tree.common[1:].tolist(), strict=True):
+            assert x[:n] == y[:n] and (x[n : n + 1] != y[n : n + 1] or len(x) == n or len(y) == n)
+        got = {(tuple(leaf[a][:n]), b - a) for a, b, n in tree.maximal_repeats(least)}
+        assert got == brute_repeats(sequences, least)
+        roots = tree.roots(least)
+        assert len(set(roots.tolist())) == len({tuple(x[:least]) for x in leaf})
+    empty = sub.SuffixTree(np.zeros(0, np.uint64), np.zeros(3, np.int64), 1)
+    assert len(empty.run) == 0 and empty.maximal_repeats(1) == []
+
+
+def test_a_passage_in_many_contexts_is_split_by_longer_prefixes(documents, monkeypatch):
+    monkeypatch.setattr(sub, "GROUP", 16)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(rng.randrange(3, 20))] + passage + [f"b{i}x{j}" for j in range(rng.randrange(3, 20))])) for i in range(200)]
+    base = documents(rows).select(F.col("doc_id").alias("d"), F.hash("text").alias("t"), "text")
+    kinds = {r["kind"] for r in sub.split_groups(sub.find_runs(base, 20)).collect()}
+    assert sub.LARGE in kinds
+    assert got_substrings(sub.dedup_substrings(documents(rows))) == brute_substrings(rows, 20)
+
+
 def test_one_very_long_text_and_none(documents):
     rng = random.Random(9)
     block = [f"{rng.randrange(10**6):x}" for _ in range(600_000)]
