@@ -11,37 +11,92 @@ from pyspark.sql.window import Window
 
 #: Up to this rank a top-k scan beats counting ranges.
 TOP = 10_000
-#: Ranges of a distributed rank, and the sample that their bounds come from. They shape the work, not the result.
-RANGES = 64
-SAMPLE = 2_048
-
-
-def _ranges(df: DataFrame, column: str) -> Column:
-    """A range number that grows with the column, from bounds found in one pass."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
-        shares = [i / RANGES for i in range(1, RANGES)]
-        bounds = sorted(set(df.agg(F.percentile_approx(column, shares, 1000)).first()[0] or []))
-    else:  # the values of smallest hash are a fair sample of any type
-        drawn = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(SAMPLE).collect()
-        values = sorted(r[0] for r in drawn)
-        bounds = sorted({values[i * len(values) // RANGES] for i in range(1, RANGES)}) if values else []
-    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+#: Rows that are numbered in one task; more are dealt into ranges of about so many, MOST_RANGES at most.
+ROWS_A_RANGE = 250_000
+MOST_RANGES = 16_384
+#: Sampled rows a range, from which its bound is found. Sample and bounds shape the work, not the result.
+SAMPLE = 24
+_FAN = 32
+
+
+def _order(df: DataFrame, column: str, ties: list[str] | None) -> list[str]:
+    """The columns to order by: column, ties, and a hash of the row, so that rows with equal values can be dealt apart too."""
+    return [column, *(ties or []), "__row_hash"]
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.withColumn("__row_hash", F.xxhash64(*columns))
+
+
+def _ranges(df: DataFrame, by: list[str], n: int) -> tuple[Column, int]:
+    """(range number of a row, number of ranges): it grows with the columns `by`. Bounds come from a fair sample of the n rows."""
+    wanted = min(MOST_RANGES, -(-n // ROWS_A_RANGE))
+    if wanted < 2:
+        return F.lit(0), 1
+    drawn = df.select(*by).sample(min(1.0, SAMPLE * wanted / n), 17).orderBy(*by).collect()
+    bounds = [drawn[i * len(drawn) // wanted] for i in range(1, wanted)] if drawn else []
+    if not bounds:
+        return F.lit(0), 1
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    value = F.struct(*[F.col(c) for c in by])
+    literal = lambda row: F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in by])
+    # Found in steps of _FAN, as in a tree: how many bounds are at most the value.
+    levels = [[literal(b) for b in bounds]]
+    while len(levels[-1]) > _FAN:
+        levels.append(levels[-1][::_FAN])
+    found = F.size(F.filter(F.array(*levels[-1]), lambda b: b <= value))
+    for level in reversed(levels[:-1]):
+        low = F.greatest(found - 1, F.lit(0)) * _FAN
+        found = F.when(found == 0, F.lit(0)).otherwise(low + F.size(F.filter(F.slice(F.array(*level), low + 1, _FAN), lambda b: b <= value)))
+    return found, len(bounds) + 1
 
 
 def global_rank(df: DataFrame, column: str, name: str = "rank", ties: list[str] | None = None) -> DataFrame:
-    """df with the 1-based rank of each row in ascending order, without one task that sees all rows.
+    """df with the 1-based rank of each row in ascending order, without a task that sees more than a range of rows.
 
-    Rows are dealt into ranges by sampled bounds; each range is numbered by itself, and the counts of the ranges before
-    it (RANGES numbers) are added.
+    Rows are counted; more than ROWS_A_RANGE are dealt into ranges by bounds over (column, ties, row), so that many rows
+    of one value are dealt apart too. Each range is numbered by itself, and the counts of the ranges before it are added.
     """
-    dealt = df.withColumn("__range", _ranges(df, column))
+    rows = _hashed(df)
+    by = _order(df, column, ties)
+    number, several = _ranges(rows, by, df.count())
+    dealt = rows.withColumn("__range", number)
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
+    if several == 1:
+        return dealt.withColumn(name, within.cast("long")).drop("__range", "__row_hash")
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     start = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(column, *(ties or [])))
     ranked = dealt.withColumn("__row", within).join(F.broadcast(start), "__range")
-    return ranked.withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__range", "__row", "__start")
+    return ranked.withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__range", "__row", "__start", "__row_hash")
+
+
+def at_ranks(df: DataFrame, column: str, ranks: list[int], n: int) -> DataFrame:
+    """rank, key: the values of column that stand at these ranks among its n rows. Only the ranges that hold a rank are sorted."""
+    spark = df.sparkSession
+    kind = df.schema[column].dataType.simpleString()
+    ranks = sorted({r for r in ranks if 1 <= r <= n})
+    if not ranks:
+        return spark.createDataFrame([], f"rank long, key {kind}")
+    keys = df.select(F.col(column).alias("key"))
+    if ranks[-1] <= TOP:
+        few = keys.orderBy("key").limit(ranks[-1])
+        numbered = few.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")))
+        return numbered.where(F.col("rank").isin(ranks)).select(F.col("rank").cast("long").alias("rank"), "key")
+    number, several = _ranges(keys, ["key"], n)
+    dealt = keys.select("key", number.alias("__range"))
+    if several == 1:
+        asked = [(r, 0, r) for r in ranks]
+    else:
+        asked, before = [], 0
+        for r in dealt.groupBy("__range").count().orderBy("__range").collect():  # one row a range
+            asked += [(x, r["__range"], x - before) for x in ranks if before < x <= before + r["count"]]
+            before += r["count"]
+        dealt = dealt.where(F.col("__range").isin(sorted({x[1] for x in asked})))
+    numbered = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__range").orderBy("key")))
+    wanted = spark.createDataFrame(asked, "rank long, __range int, __row int")
+    return numbered.join(F.broadcast(wanted), ["__range", "__row"]).select("rank", "key")
 
 
 def count_range(live: DataFrame, lo: Any, hi: Any) -> DataFrame:
@@ -53,10 +108,7 @@ def nth_key(live: DataFrame, rank: int) -> DataFrame:
     """key: the rank-th smallest; an IndexError if there is none."""
     if rank < 1:
         raise IndexError(f"rank {rank} is below 1")
-    if rank <= TOP:
-        found = live.select("key").orderBy("key").limit(rank).agg(F.max("key").alias("key"), F.count("*").alias("n")).where(F.col("n") == rank).select("key")
-    else:
-        found = global_rank(live.select("key"), "key").where(F.col("rank") == rank).select("key")
+    found = at_ranks(live, "key", [rank], rank if rank <= TOP else live.count()).select("key")
     if found.isEmpty():
         raise IndexError(f"rank {rank} is above the number of keys")
     return found
@@ -83,10 +135,10 @@ def percentile_ranks(n: int, percents: list[int]) -> dict[int, int]:
 
 def percentile_keys(live: DataFrame, percents: list[int]) -> DataFrame:
     """pct, key for each percentile; no row if the store is empty."""
-    spark = live.sparkSession
-    ranks = percentile_ranks(live.count(), percents)
-    asked = spark.createDataFrame(list(ranks.items()), "pct int, rank long")
-    return global_rank(live.select("key"), "key").join(F.broadcast(asked), "rank").select("pct", "key")
+    n = live.count()
+    ranks = percentile_ranks(n, percents)
+    asked = live.sparkSession.createDataFrame(list(ranks.items()), "pct int, rank long")
+    return at_ranks(live, "key", list(ranks.values()), n).join(F.broadcast(asked), "rank").select("pct", "key")
 
 
 def median_key(live: DataFrame) -> DataFrame:

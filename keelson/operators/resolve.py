@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import TOP, at_ranks
+
 
 def newest(log: DataFrame) -> DataFrame:
     """The last mutation of every key, tombstones included."""
@@ -28,16 +30,27 @@ def tombstoned(log: DataFrame) -> DataFrame:
     return newest(log).where("deleted")
 
 
-def first_records(log: DataFrame, n: int) -> DataFrame:
-    """The first n records in write order; all if n is negative. seq is dense, so this is a range that Parquet can skip by."""
-    return log if n < 0 else log.where(F.col("seq") < n)
+def first_records(log: DataFrame, n: int, dense: bool = True) -> DataFrame:
+    """The first n records in write order; all if n is negative.
+
+    dense: no seq is missing below n, as in a log that was never compacted, so that this is a range that Parquet can skip
+    by. Otherwise the n-th seq that is left is looked up first.
+    """
+    if n < 0:
+        return log
+    if dense or n == 0:
+        return log.where(F.col("seq") < n)
+    total = log.count()
+    if n >= total:
+        return log
+    return log.where(F.col("seq") <= at_ranks(log, "seq", [n], total).first()["key"])
 
 
-def as_of_record(log: DataFrame, n: int) -> DataFrame:
-    """The live set after the first n records."""
+def as_of_record(log: DataFrame, n: int, dense: bool = True) -> DataFrame:
+    """The live set after the first n records that the log still holds."""
     if n < 0:
         raise ValueError("as_of_record needs n >= 0")
-    return live_set(first_records(log, n))
+    return live_set(first_records(log, n, dense))
 
 
 def from_checkpoint(checkpoint: DataFrame, delta: DataFrame) -> DataFrame:
@@ -55,6 +68,14 @@ def retain_newest(live: DataFrame, n: int, indexed: bool = False) -> DataFrame:
     return live.orderBy(F.desc("seq")).limit(n)
 
 
+def floor(live: DataFrame, n: int) -> int:
+    """The seq of the n-th newest live row: older ones are evicted. 0 if there are no more than n."""
+    age = live.select((-F.col("seq")).alias("age"))
+    total = n + 1 if n < TOP else live.count()
+    found = at_ranks(age, "age", [n + 1], total).first()
+    return 1 - found["key"] if found else 0
+
+
 def overwrites(log: DataFrame) -> DataFrame:
     """key, seq and previous seq of the same key: what each mutation made garbage."""
     return log.select("key", "seq", F.lag("seq").over(Window.partitionBy("key").orderBy("seq")).alias("previous"))

@@ -23,8 +23,8 @@ live AS (SELECT k, seq, et, props, seg, bytes FROM r WHERE rn = 1 AND NOT del)""
 BASE = f"WITH {LOG}, {LIVE} "
 BASE_DENSE = f"WITH {DENSE}, {LIVE} "
 SPANS = "sp AS (SELECT l_orderkey AS k, min(l_shipdate) AS s, max(l_shipdate) AS e FROM lineitem GROUP BY 1)"
-#: The newest closed segment of the dense log at the gate's scale.
-CLOSED = 8
+#: The newest closed segment: all but the newest are closed.
+CLOSED = "(SELECT max(seg) - 1 FROM log)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -243,7 +243,26 @@ def _spans(spark, sf_dir):
 
 
 def _placed(found):
-    return order.global_rank(found.withColumn("place", F.struct("start", "end", "key")).withColumn("first", F.unix_micros(F.col("start").cast("timestamp"))), "first", "pos", ["place"]).select("pos", "key")
+    return order.global_rank(found, "start", "pos", ["end", "key"]).select("pos", "key")
+
+
+_INT_SPANS = "sp AS (SELECT o_orderkey AS k, o_custkey AS s, o_custkey + o_orderkey % 40 AS e FROM orders)"
+
+
+def _int_spans(spark, sf_dir):
+    return views.orders(spark, sf_dir), indexes.IndexSet().interval("around", F.col("o_custkey"), F.col("o_custkey") + F.col("key") % 40)
+
+
+@query(f"WITH {_INT_SPANS} SELECT row_number() OVER (ORDER BY s, e, k) AS pos, k AS key FROM sp WHERE s <= 57 AND e >= 57")
+def stab_integers(spark, sf_dir):
+    rows, declared = _int_spans(spark, sf_dir)
+    return _placed(declared.stab(rows, "around", 57))
+
+
+@query(f"WITH {_INT_SPANS} SELECT row_number() OVER (ORDER BY s, e, k) AS pos, k AS key FROM sp WHERE s <= 75 AND e >= 60")
+def overlap_integers(spark, sf_dir):
+    rows, declared = _int_spans(spark, sf_dir)
+    return _placed(declared.overlapping(rows, "around", 60, 75))
 
 
 @query(f"WITH {SPANS} SELECT row_number() OVER (ORDER BY s, e, k) AS pos, k AS key FROM sp WHERE s <= TIMESTAMP '1998-01-01' AND e >= TIMESTAMP '1998-01-01'")
@@ -305,15 +324,47 @@ def garbage_total(spark, sf_dir):
 
 @query(BASE_DENSE + f"SELECT row_number() OVER (ORDER BY k) AS pos, k AS key, seq FROM live WHERE seg <= {CLOSED}")
 def compaction_result(spark, sf_dir):
-    merged = space.compacted(views.event_log(spark, sf_dir, dense=True), CLOSED)
-    return order.global_rank(merged, "key", "pos").select("pos", "key", "seq")
+    log = views.event_log(spark, sf_dir, dense=True)
+    return order.global_rank(space.compacted(log, space.newest_closed(log)), "key", "pos").select("pos", "key", "seq")
 
 
-@query(BASE_DENSE + f"SELECT ((SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}) - (SELECT sum(bytes) FROM live WHERE seg <= {CLOSED}))::BIGINT AS reclaimed_bytes")
+@query(BASE_DENSE + f"SELECT (coalesce((SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}), 0) - coalesce((SELECT sum(bytes) FROM live WHERE seg <= {CLOSED}), 0))::BIGINT AS reclaimed_bytes")
 def compaction_reclaimed(spark, sf_dir):
-    return space.reclaimed(views.event_log(spark, sf_dir, dense=True), CLOSED)
+    log = views.event_log(spark, sf_dir, dense=True)
+    return space.reclaimed(log, space.newest_closed(log))
 
 
-@query(BASE_DENSE + f"SELECT (SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}) - (SELECT sum(bytes) FROM live WHERE seg <= {CLOSED}) > 0.5 * (SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}) AS due")
+@query(BASE_DENSE + f"SELECT coalesce((SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}) - coalesce((SELECT sum(bytes) FROM live WHERE seg <= {CLOSED}), 0) > 0.5 * (SELECT sum(bytes) FROM log WHERE seg <= {CLOSED}), false) AS due")
 def auto_compact_due(spark, sf_dir):
-    return space.compaction_due(views.event_log(spark, sf_dir, dense=True), CLOSED, 0.5)
+    log = views.event_log(spark, sf_dir, dense=True)
+    return space.compaction_due(log, space.newest_closed(log), 0.5)
+
+
+_KEPT = "kept AS (SELECT * FROM live ORDER BY seq DESC LIMIT 50), "
+
+
+@query(f"WITH {LOG}, {LIVE}, {_KEPT}t AS (SELECT sum(bytes)::BIGINT AS total_bytes FROM log) SELECT total_bytes, (total_bytes - (SELECT sum(bytes) FROM kept))::BIGINT AS garbage_bytes FROM t")
+def retained_garbage(spark, sf_dir):
+    """Rows that retention evicts are garbage too."""
+    log = views.event_log(spark, sf_dir)
+    return space.garbage(log, resolve.floor(resolve.live_set(log), 50))
+
+
+@query(f"WITH {DENSE}, {LIVE}, kept AS (SELECT * FROM live ORDER BY seq DESC LIMIT 700) SELECT k AS key, seq FROM kept WHERE seg <= {CLOSED}")
+def retained_compaction(spark, sf_dir):
+    log = views.event_log(spark, sf_dir, dense=True)
+    return space.compacted(log, space.newest_closed(log), resolve.floor(resolve.live_set(log), 700)).select("key", "seq")
+
+
+@query(
+    f"""WITH {DENSE}, {LIVE}, left_over AS (SELECT seq, k, del FROM log WHERE seg > {CLOSED} UNION ALL SELECT seq, k, false FROM live WHERE seg <= {CLOSED}),
+p AS (SELECT * FROM left_over ORDER BY seq LIMIT 300), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM p)
+SELECT k AS key, seq FROM n WHERE rn = 1 AND NOT del"""
+)
+def as_of_after_compaction(spark, sf_dir):
+    """The first 300 records that compaction has left."""
+    log = views.event_log(spark, sf_dir, dense=True)
+    top = space.newest_closed(log)
+    columns = ["seq", "key", "deleted"]
+    left = space.compacted(log, top).withColumn("deleted", F.lit(False)).select(columns).union(log.where(F.col("segment_id") > top).select(columns))
+    return resolve.as_of_record(left, 300, dense=False).select("key", "seq")

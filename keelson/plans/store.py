@@ -8,6 +8,7 @@ later commits don't change them. Ordering within a batch follows `ordinal` if th
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import replace
 from typing import Any
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.records import HEADER_BYTES, Options, byte_size, is_invalid, schema, with_record_columns
+from keelson.functions.records import Options, is_invalid, schema, with_record_columns
 from keelson.operators import lookup, order, resolve, space
 from keelson.operators.indexes import IndexSet
 from keelson.sources import files as sources
@@ -59,13 +60,24 @@ class View:
 
 
 class Snapshot(View):
-    """The store at one manifest. While it is open the store isn't compacted; close() may be called again."""
+    """The store at one manifest. While it is open the store isn't compacted; close() may be called again.
 
-    def __init__(self, store: Store):
-        self.log, self.live, self._files = store.log, store.live, store.files
-        self._pin = f"{store.manifest.generation:08d}-{uuid.uuid4().hex}"
+    Its pin expires after `seconds`, so that a reader that died doesn't block compaction for good; renew() prolongs it.
+    """
+
+    def __init__(self, store: Store, seconds: float = 3600):
+        self.log, self.live, self._files, self._seconds = store.log, store.live, store.files, seconds
+        self._name = f"{store.manifest.generation:08d}-{uuid.uuid4().hex}"
+        self._pin = ""
         self._files.make("pins")
-        self._files.write_new("", "pins", self._pin)
+        self.renew()
+
+    def renew(self) -> None:
+        old, self._pin = self._pin, f"{int((time.time() + self._seconds) * 1000)}-{self._name}"
+        if old != self._pin:
+            self._files.write_new("", "pins", self._pin)
+            if old:
+                self._files.delete("pins", old)
 
     def close(self) -> None:
         if self._pin:
@@ -79,6 +91,12 @@ class Snapshot(View):
         self.close()
 
 
+def pinned(files: Files) -> bool:
+    """Whether a snapshot is open whose pin hasn't expired."""
+    ends = [name.split("-")[0] for name in files.names("pins") if not name.startswith(".")]
+    return any(e.isdigit() and int(e) > time.time() * 1000 for e in ends)
+
+
 class Store(View):
     def __init__(self, spark: SparkSession, path: str, manifest: Manifest, indexes: IndexSet | None = None):
         self.spark, self.files, self.manifest = spark, Files(spark, path), manifest
@@ -128,6 +146,10 @@ class Store(View):
         found = found.select(columns)
         return resolve.retain_newest(found, self.options.retain_newest) if self.options.retain_newest else found
 
+    def _floor(self) -> int:
+        """Live rows with a seq under it are evicted; 0 without retention."""
+        return resolve.floor(resolve.live_set(self.log), self.options.retain_newest) if self.options.retain_newest else 0
+
     def _commit(self, **changed: Any) -> None:
         to = replace(self.manifest, generation=manifests.next_generation(self.files), **changed)
         if manifests.latest(self.files) != self.manifest or not manifests.publish(self.files, to):
@@ -140,46 +162,55 @@ class Store(View):
         """Append mutations (key, value, deleted, and ordinal if their order matters) as one commit; the number of records."""
         rows = mutations.orderBy("ordinal") if "ordinal" in mutations.columns else mutations
         scratch = f"scratch/{uuid.uuid4().hex}"
-        kinds = {f.name: f.dataType for f in self.schema.fields}
-        bytes_of = F.lit(HEADER_BYTES) + byte_size(F.col("key"), kinds["key"]) + F.when(F.col("deleted"), 0).otherwise(byte_size(F.col("value"), kinds["value"]))
         checks = (is_invalid(rows.schema).alias("invalid"), (~F.col("deleted") & self.indexes.is_rejected()).alias("rejected"))
+        typed = [F.col(c).cast(self.schema[c].dataType).alias(c) for c in ("key", "value")]
         # Written once before numbering: a task's rows are numbered as they stand, and tasks by their counts.
-        rows.select("key", "value", "deleted", bytes_of.cast("long").alias("bytes"), F.monotonically_increasing_id().alias("place"), *checks).write.parquet(f"{self.files.base}/{scratch}")
+        checked = rows.select("key", "value", "deleted", *checks).select(*typed, "deleted", "invalid", "rejected")
+        with_record_columns(checked).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{self.files.base}/{scratch}")
         try:
-            staged = self.spark.read.parquet(f"{self.files.base}/{scratch}").withColumn("task", F.shiftright("place", 33).cast("int"))
-            seen = staged.groupBy("task").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bool_or("invalid").alias("invalid"), F.bool_or("rejected").alias("rejected")).orderBy("task").collect()  # one row a task
+            names = T.StructType([*[self.schema[c] for c in ("key", "value", "deleted", "record_bytes", "crc")], *[T.StructField(c, T.BooleanType()) for c in ("invalid", "rejected")], T.StructField("place", T.LongType())])
+            staged = self.spark.read.schema(names).parquet(f"{self.files.base}/{scratch}").withColumn("task", F.shiftright("place", 33).cast("int"))
+            sums = (F.count("*").alias("n"), F.sum("record_bytes").alias("bytes"), F.sum("crc").alias("crc_sum"), F.bit_xor("crc").alias("crc_xor"))
+            seen = staged.groupBy("task").agg(*sums, F.bool_or("invalid").alias("invalid"), F.bool_or("rejected").alias("rejected")).orderBy("task").collect()  # one row a task
             if any(r["invalid"] for r in seen):
                 raise ValueError("null key, null value of a put, or a key or value over its limit")
             if any(r["rejected"] for r in seen):
                 raise ValueError("an index refuses a row: null attribute or endpoint, or start after end")
-            start, total = [], 0
+            start, total, size, xor = [], 0, 0, 0
             for r in seen:
-                start.append((r["task"], total))
-                total += r["n"]
+                start.append((r["task"], total, size, r["bytes"] / r["n"]))
+                total, size, xor = total + r["n"], size + r["bytes"], xor ^ r["crc_xor"]
             if not total:
                 return 0
-            starts = F.broadcast(self.spark.createDataFrame(start, "task int, start long"))
-            nth = F.col("start") + F.col("place") - F.shiftleft(F.col("task").cast("long"), 33)
-            numbered = staged.join(starts, "task").withColumn("seq", F.lit(self.manifest.next_seq) + nth)
-            self._append(numbered, total, sum(r["bytes"] for r in seen))
+            starts = F.broadcast(self.spark.createDataFrame(start, "task int, start long, before long, mean double"))
+            nth = F.col("place") - F.shiftleft(F.col("task").cast("long"), 33)
+            first = self._next_segment()
+            cuts = -(-size // self.options.segment_bytes)
+            number = F.least(F.floor((F.col("before") + nth * F.col("mean")) / self.options.segment_bytes), F.lit(cuts - 1))
+            numbered = staged.join(starts, "task").withColumn("seq", F.lit(self.manifest.next_seq) + F.col("start") + nth).withColumn("segment_id", (F.lit(first) + number).cast("int"))
+            known = {"segment_id": first, "records": total, "bytes": size, "crc_sum": sum(r["crc_sum"] for r in seen), "crc_xor": xor, "low": self.manifest.next_seq, "high": self.manifest.next_seq + total - 1}
+            self._append(numbered.select([f.name for f in self.schema.fields]), total, cuts, known if cuts == 1 else None)
         finally:
             self.files.delete(scratch)
         return total
 
-    def _append(self, numbered: DataFrame, total: int, size: int | None = None) -> None:
-        """Commit rows that have their seq already, the first being next_seq."""
+    def _next_segment(self) -> int:
+        return max((s.segment_id for s in self.manifest.segments), default=-1) + 1
+
+    def append_records(self, rows: DataFrame, total: int) -> None:
+        """Commit records (seq, key, deleted, value) that have their seq already, the first being next_seq and none missing: a replica's way to write."""
         kinds = {f.name: f.dataType for f in self.schema.fields}
-        rows = numbered.select("seq", F.col("key").cast(kinds["key"]).alias("key"), "deleted", F.col("value").cast(kinds["value"]).alias("value"), F.lit(0).alias("segment_id"))
+        rows = rows.select("seq", F.col("key").cast(kinds["key"]).alias("key"), "deleted", F.col("value").cast(kinds["value"]).alias("value"))
         rows = with_record_columns(rows)
-        if size is None:
-            size = rows.agg(F.sum("record_bytes")).first()[0]
-        cuts = max(1, -(-size // self.options.segment_bytes))  # about segment_bytes each, by place in the batch
-        first = max((s.segment_id for s in self.manifest.segments), default=-1) + 1
-        number = F.lit(first) + F.floor((F.col("seq") - F.lit(self.manifest.next_seq)) * cuts / total).cast("int")
-        rows = rows.withColumn("segment_id", number.cast("int")).select([f.name for f in self.schema.fields])
+        size = rows.agg(F.sum("record_bytes")).first()[0]
+        cuts = max(1, -(-size // self.options.segment_bytes))
+        number = F.lit(self._next_segment()) + F.floor((F.col("seq") - F.lit(self.manifest.next_seq)) * cuts / total)
+        self._append(rows.withColumn("segment_id", number.cast("int")).select([f.name for f in self.schema.fields]), total, cuts, None)
+
+    def _append(self, rows: DataFrame, total: int, cuts: int, known: dict[str, int] | None) -> None:
         if cuts > 1:
             rows = rows.repartitionByRange(int(cuts), "seq")
-        new = segments.write_segments(self.files, rows.sortWithinPartitions("segment_id", "seq"))
+        new = segments.write_segments(self.files, rows.sortWithinPartitions("segment_id", "seq"), known)
         self._commit(next_seq=self.manifest.next_seq + total, segments=(*self.manifest.segments, *new))
 
     def put_all(self, rows: DataFrame) -> int:
@@ -204,8 +235,8 @@ class Store(View):
         return keys.join(self.live.join(keys.select("key").distinct(), "key", "left_semi"), "key", "left")
 
     def as_of_record(self, n: int) -> DataFrame:
-        """The live set after the first n records still in the log; changes nothing."""
-        return resolve.as_of_record(self.log, n)
+        """The live set after the first n records still in the log, by seq; changes nothing. Compaction leaves fewer records to count."""
+        return resolve.as_of_record(self.log, n, dense=sum(s.records for s in self.manifest.segments) == self.manifest.next_seq)
 
     def by_attribute(self, name: str, lo: Any, hi: Any) -> DataFrame:
         return self.indexes.by_attribute(self.live, name, lo, hi)
@@ -216,15 +247,15 @@ class Store(View):
     def overlapping(self, name: str, lo: Any, hi: Any) -> DataFrame:
         return self.indexes.overlapping(self.live, name, lo, hi)
 
-    def snapshot(self) -> Snapshot:
-        return Snapshot(self)
+    def snapshot(self, seconds: float = 3600) -> Snapshot:
+        return Snapshot(self, seconds)
 
     def tail_sequence(self) -> int:
         return self.manifest.next_seq
 
     def stats(self) -> dict[str, Any]:
-        """Figures of the store in one job."""
-        r = space.garbage(self.log).first()
+        """Figures of the store."""
+        r = space.garbage(self.log, self._floor()).first()
         return {"generation": self.manifest.generation, "records": segments.count_records(self.files, self.manifest), "live": self.size(), "segments": len(self.manifest.segments), "bytes": r["total_bytes"], "garbage_bytes": r["garbage_bytes"], "next_seq": self.manifest.next_seq}
 
     # --- upkeep ---
@@ -244,10 +275,10 @@ class Store(View):
         Nothing happens (0) without closed segments, while a snapshot is open, or if another writer commits meanwhile.
         """
         top = self._closed()
-        if top < 0 or self.files.names("pins"):
+        if top < 0 or pinned(self.files):
             return 0
         old = [s for s in self.manifest.segments if s.segment_id <= top]
-        merged = space.compacted(self.log, top).withColumn("segment_id", F.lit(top)).withColumn("deleted", F.lit(False))
+        merged = space.compacted(self.log, top, self._floor()).withColumn("segment_id", F.lit(top)).withColumn("deleted", F.lit(False))
         rows = merged.select([f.name for f in self.schema.fields]).repartitionByRange("key").sortWithinPartitions("key")
         new = segments.write_segments(self.files, rows)
         try:
@@ -258,16 +289,21 @@ class Store(View):
 
     def maintain(self) -> int:
         """Compact if the closed segments' garbage is above the configured part."""
-        due = space.compaction_due(self.log, self._closed(), self.options.compact_when_garbage_above).first()["due"]
+        due = space.compaction_due(self.log, self._closed(), self.options.compact_when_garbage_above, self._floor()).first()["due"]
         return self.compact() if due else 0
 
-    def vacuum(self) -> int:
-        """Delete batch and checkpoint folders that the newest manifest doesn't name; nothing while a snapshot is open."""
-        if self.files.names("pins"):
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Delete batch, checkpoint and scratch folders that the newest manifest doesn't name; nothing while a snapshot is open.
+
+        Folders younger than older_than seconds are spared, since a writer may not have committed them yet.
+        """
+        if pinned(self.files):
             return 0
         named = {s.folder.split("/")[1] for s in self.manifest.segments}
-        loose = [("segments", n) for n in self.files.names("segments") if n not in named]
-        loose += [("checkpoints", n) for n in self.files.names("checkpoints") if not self.manifest.checkpoint or not self.manifest.checkpoint[1].endswith(n)]
+        if self.manifest.checkpoint:
+            named.add(self.manifest.checkpoint[1].split("/")[1])
+        limit = time.time() - older_than
+        loose = [(folder, n) for folder in ("segments", "checkpoints", "scratch") for n, at in self.files.modified(folder).items() if n not in named and at <= limit]
         for parts in loose:
             self.files.delete(*parts)
         return len(loose)

@@ -6,41 +6,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.records import Options
 from keelson.operators import resolve
 from keelson.sources import files
+from keelson.sources import log as segments
 from keelson.sources.scratch import scratch
 from keelson.streaming import tail
 
 from . import views
-from .catalogue import BASE, DENSE, LIVE, LOG, query
+from .catalogue import BASE, BASE_DENSE, DENSE, LIVE, LOG, query
 from .store import Store
 
+#: The first commit of a stored log holds the records before this one.
+HALF = 5000
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _followed(spark: SparkSession, sf_dir: str, from_seq: int, only=None) -> DataFrame:
-    """What a tail over events delivers, gathered in a folder."""
-    stream = spark.readStream.schema(_EVENTS).parquet(f"{sf_dir}/events.parq*")
-    log = stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), (F.col("event_type") == "error").alias("deleted"), "event_type")
-    to = scratch(spark, "tail")
-    follower = tail.Tail(lambda rows, gap: rows.withColumn("gap", F.lit(gap)).write.mode("append").parquet(f"{to}/rows"), from_seq, only)
-    follower.start(log, f"{to}/state", available_now=True).awaitTermination()
+def _delivered(store: Store, from_seq: int = 0, only=None, ring: int = 0, commits_a_trigger: int = 64) -> DataFrame:
+    """What a tail over a store delivers, gathered in a folder."""
+    spark, to = store.spark, scratch(store.spark, "tail")
+    columns = ["seq", "key", "deleted", F.col("value.event_type").alias("event_type")]
+    follower = tail.Tail(lambda rows, gap: rows.select(*columns).withColumn("gap", F.lit(gap)).write.mode("append").parquet(f"{to}/rows"), from_seq, only, ring)
+    follower.start(spark, store.files.base, f"{to}/state", available_now=True, commits_a_trigger=commits_a_trigger).awaitTermination()
     return spark.read.schema("seq long, key long, deleted boolean, event_type string, gap boolean").parquet(f"{to}/rows")
 
 
-@query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted, et AS event_type, false AS gap FROM log WHERE seq >= 250")
+_TAILED = f"WITH {LOG} SELECT seq, k AS key, del AS deleted, CASE WHEN NOT del THEN et END AS event_type, false AS gap FROM log"
+
+
+@query(f"{_TAILED} WHERE seq >= 250")
 def tail_from(spark, sf_dir):
-    return _followed(spark, sf_dir, 250)
+    return _delivered(_stored(spark, sf_dir), 250)
+
+
+@query(_TAILED)
+def tail_many_files(spark, sf_dir):
+    """Commits of many segments, one commit a trigger: every record once, no gap."""
+    return _delivered(_stored(spark, sf_dir, options=Options(segment_bytes=32 << 10)), commits_a_trigger=1)
+
+
+@query(_TAILED)
+def tail_orphan_batch(spark, sf_dir):
+    """A batch that its writer never committed isn't delivered."""
+    store = _stored(spark, sf_dir)
+    lost = store.log.limit(7).withColumn("seq", F.col("seq") + 10**9).withColumn("segment_id", F.lit(99))
+    segments.write_segments(store.files, lost)
+    return _delivered(store)
+
+
+@query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS back FROM log WHERE seq >= 10) SELECT seq, k AS key, true AS gap FROM n WHERE back <= 100")
+def tail_ring_gap(spark, sf_dir):
+    """More records wait than a tail's ring holds: the newest come, and the gap is told."""
+    return _delivered(_stored(spark, sf_dir), 10, ring=100).select("seq", "key", "gap")
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log WHERE k = 42")
 def watch_key(spark, sf_dir):
-    return _followed(spark, sf_dir, 0, tail.watch_key(42)).select("seq", "key", "deleted")
+    return _delivered(_stored(spark, sf_dir), 0, tail.watch_key(42)).select("seq", "key", "deleted")
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log WHERE k BETWEEN 10 AND 20")
 def watch_range(spark, sf_dir):
-    return _followed(spark, sf_dir, 0, tail.watch_range(10, 20)).select("seq", "key", "deleted")
+    return _delivered(_stored(spark, sf_dir), 0, tail.watch_range(10, 20)).select("seq", "key", "deleted")
+
+
+@query(BASE + "SELECT k AS key, seq, et AS event_type FROM live")
+def replica_over_stream(spark, sf_dir):
+    """A replica that starts empty and follows the primary's commits."""
+    primary = _stored(spark, sf_dir, options=Options(segment_bytes=64 << 10))
+    to = scratch(spark, "replica")
+    replica = tail.Replica(Store.create(spark, f"{to}/store", T.LongType(), _value()))
+    replica.start(spark, primary.files.base, f"{to}/state", available_now=True, commits_a_trigger=1).awaitTermination()
+    return Store.open(spark, f"{to}/store").live.select("key", "seq", F.col("value.event_type").alias("event_type"))
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM log WHERE seq >= 100 AND seq <> 250) WHERE seq = 99 + n")
@@ -67,14 +104,17 @@ def _value() -> T.StructType:
     return T.StructType([T.StructField("event_type", T.StringType()), T.StructField("props", T.StringType())])
 
 
-def _stored(spark: SparkSession, sf_dir: str, dense: bool = False) -> Store:
-    """events as a store on disk, in two commits."""
-    store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value())
+def _rows(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     log = views.event_log(spark, sf_dir, dense)
-    rows = log.select("key", F.when(~F.col("deleted"), F.struct("event_type", "props")).alias("value"), "deleted", F.col("seq").alias("ordinal"))
-    half = 5000
-    store.apply(rows.where(F.col("ordinal") < half))
-    store.apply(rows.where(F.col("ordinal") >= half))
+    return log.select("key", F.when(~F.col("deleted"), F.struct("event_type", "props")).alias("value"), "deleted", F.col("seq").alias("ordinal"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, dense: bool = False, options: Options | None = None) -> Store:
+    """events as a store on disk, in two commits."""
+    store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value(), options)
+    rows = _rows(spark, sf_dir, dense)
+    store.apply(rows.where(F.col("ordinal") < HALF))
+    store.apply(rows.where(F.col("ordinal") >= HALF))
     return store
 
 
@@ -106,7 +146,66 @@ def sorted_run(spark, sf_dir):
 def import_lww_dups(spark, sf_dir):
     """Events as CSV lines, imported in line order: the last line of a key wins, all lines stay in the log."""
     path = scratch(spark, "csv")
-    spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("user_id", "event_type").coalesce(1).write.csv(f"{path}/lines")
+    spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("user_id", "event_type").write.csv(f"{path}/lines")
     source = files.csv_source(spark, f"{path}/lines", "key long, value string", "key", "value")
     store = Store.import_into(spark, f"{path}/store", source)
     return store.live.select("key", "value").join(store.log.groupBy("key").agg(F.count("*").alias("records")), "key")
+
+
+_LAST = "SELECT user_id AS key, max_by(event_type, event_id) AS value, count(*) AS records FROM events GROUP BY 1"
+
+
+def _last_and_count(store: Store) -> DataFrame:
+    return store.live.select("key", "value").join(store.log.groupBy("key").agg(F.count("*").alias("records")), "key")
+
+
+@query(_LAST)
+def import_jsonl(spark, sf_dir):
+    path = scratch(spark, "jsonl")
+    spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("user_id", "event_type").write.json(f"{path}/lines")
+    source = files.jsonl_source(spark, f"{path}/lines", "user_id long, event_type string", "user_id", "event_type")
+    return _last_and_count(Store.import_into(spark, f"{path}/store", source))
+
+
+@query(_LAST)
+def import_binary(spark, sf_dir):
+    """Through the binary format and back: written by the sink, read by the source."""
+    path = scratch(spark, "binary")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("ordinal"))
+    files.parquet_sink(rows, f"{path}/rows")
+    return _last_and_count(Store.import_into(spark, f"{path}/store", files.parquet_source(spark, f"{path}/rows", "key", "value")))
+
+
+@query(BASE + "SELECT k AS key, et AS event_type FROM live")
+def import_sorted_run(spark, sf_dir):
+    path = scratch(spark, "run")
+    files.export_sorted(resolve.live_set(views.event_log(spark, sf_dir)).select("key", F.col("event_type").alias("value")), f"{path}/run")
+    store = Store.import_sorted(spark, f"{path}/store", f"{path}/run")
+    return store.live.select("key", F.col("value").alias("event_type"))
+
+
+@query(BASE.replace("FROM events)", f"FROM events WHERE event_id < {HALF})") + "SELECT k AS key, seq, et AS event_type FROM live")
+def backup_restore(spark, sf_dir):
+    """A backup between two commits holds the first alone."""
+    rows, path = _rows(spark, sf_dir), scratch(spark, "backup")
+    store = Store.create(spark, f"{path}/store", T.LongType(), _value())
+    store.apply(rows.where(F.col("ordinal") < HALF))
+    store.backup(f"{path}/copy")
+    store.apply(rows.where(F.col("ordinal") >= HALF))
+    return Store.open(spark, f"{path}/copy").live.select("key", "seq", F.col("value.event_type").alias("event_type"))
+
+
+@query("SELECT 1 AS segment_id WHERE (SELECT max(event_id) FROM events) >= 5000")
+def verify_damaged(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    for s in store.manifest.segments:
+        if s.segment_id == 1:
+            store.files.delete(s.folder)
+    return spark.createDataFrame([(n,) for n in store.verify()], "segment_id int")
+
+
+@query(BASE_DENSE + "SELECT count(*) AS records, (SELECT count(*) FROM live) AS live, sum(bytes)::BIGINT AS bytes, (sum(bytes) - (SELECT sum(bytes) FROM live))::BIGINT AS garbage_bytes, max(seq) + 1 AS next_seq FROM log")
+def store_stats(spark, sf_dir):
+    found = _stored(spark, sf_dir, dense=True).stats()
+    names = ("records", "live", "bytes", "garbage_bytes", "next_seq")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))

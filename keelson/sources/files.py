@@ -32,6 +32,11 @@ def jsonl_source(spark: SparkSession, path: str, schema: T.StructType | str, key
     return in_file_order(rows).select(F.col(key).alias("key"), F.col(value).alias("value"), "ordinal")
 
 
+def parquet_sink(rows: DataFrame, path: str) -> None:
+    """Write key, value in the order of ordinal (or as given): the binary interchange format here is Parquet, whose pages are length-prefixed and typed."""
+    (rows.orderBy("ordinal") if "ordinal" in rows.columns else rows).select("key", "value").write.parquet(path)
+
+
 def parquet_source(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """key, value, ordinal of Parquet, the binary interchange format here."""
     return in_file_order(spark.read.parquet(path)).select(F.col(key).alias("key"), F.col(value).alias("value"), "ordinal")

@@ -23,6 +23,9 @@ class Segment:
     bytes: int
     crc_sum: int
     crc_xor: int
+    #: Least and greatest seq.
+    low: int
+    high: int
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,14 @@
-"""Structured Streaming over a log: tails and watches, gap signals, replicas, and a continuous live view.
+"""Structured Streaming over a store's commits: tails and watches, gap signals, replicas, and a continuous live view.
 
-File sources promise no order, so every micro-batch is ordered by seq, and rows at or below the last delivered seq are
-dropped. Gaps are told from seq alone.
+The stream is the folder of manifests: one manifest is one commit. So a commit is delivered whole, in seq order, however
+many files it has; what no manifest names is never delivered; and compaction, which adds no seq, delivers nothing again.
+Records come from the segments that the newest manifest of a trigger names. How far a tail has come is kept beside the
+stream's checkpoint, so that a restart neither repeats nor skips: a batch whose listener had finished isn't delivered again.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from keelson.sources import log as segments
+from keelson.sources import manifest as manifests
+from keelson.sources.fs import Files
+from keelson.sources.manifest import Manifest
+
 
 def contiguous(rows: DataFrame, applied: int) -> DataFrame:
     """Rows that follow `applied` without a hole, each seq once.
@@ -26,19 +34,37 @@ def contiguous(rows: DataFrame, applied: int) -> DataFrame:
     return new.join(F.broadcast(missing), F.col("seq") < F.col("hole")).drop("hole")
 
 
-def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_a_trigger: int = 64) -> DataFrame:
-    """The segments of a store's folder as a stream of records; a segment's number is read from its path."""
-    stored = T.StructType([f for f in schema.fields if f.name != "segment_id"])
-    rows = spark.readStream.schema(stored).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path}/segments")
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"segment_id=(\d+)", 1).cast("int")
-    return rows.withColumn("segment_id", number).select([f.name for f in schema.fields])
+def follow(spark: SparkSession, path: str, on_commit: Callable[[Manifest], None], checkpoint: str, available_now: bool = False, commits_a_trigger: int = 64) -> StreamingQuery:
+    """Call on_commit with the newest manifest of each trigger."""
+    files = Files(spark, path)
+    files.make(manifests.FOLDER)
+    stream = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "manifest-*.json").option("maxFilesPerTrigger", commits_a_trigger).load(f"{path}/{manifests.FOLDER}")
+
+    def each(batch: DataFrame, _: int) -> None:
+        found = [m for r in batch.select("value").collect() if (m := manifests.parse(r["value"]))]  # one row a commit
+        if found:
+            on_commit(max(found, key=lambda m: m.generation))
+
+    writer = stream.select("value").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def records_after(spark: SparkSession, path: str, manifest: Manifest, last: int) -> DataFrame:
+    """The records of a manifest with a seq over `last`; other segments aren't opened. What a vacuum has taken away since is read as the newest manifest has it."""
+    files = Files(spark, path)
+    newest = manifest
+    if not all(files.exists(s.folder) for s in manifest.segments if s.high > last):
+        newest = manifests.latest(files) or manifest
+    rows = segments.scan(files, newest, T.StructType.fromJson(json.loads(manifest.schema)), after=last)
+    return rows.where(F.col("seq") < manifest.next_seq)
 
 
 class Tail:
     """Delivers records in order from `from_seq` on, those that `only` selects, to listener(rows, gap).
 
-    gap is true if records before these were missed: the first seq isn't the one after the last seen, or more than `ring`
-    records were waiting and only the newest `ring` are delivered. A listener's error is counted and doesn't stop the tail.
+    gap is true if records before these were missed: the first seq isn't the one after the last seen, some were compacted
+    away before they were delivered, or more than `ring` records were waiting and only the newest `ring` are delivered. A
+    listener's error is counted and doesn't stop the tail.
     """
 
     def __init__(self, listener: Callable[[DataFrame, bool], None], from_seq: int = 0, only: Column | None = None, ring: int = 0):
@@ -60,9 +86,26 @@ class Tail:
         except Exception:  # noqa: BLE001 - a listener's failure is its own
             self.errors += 1
 
-    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-        writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    def start(self, spark: SparkSession, path: str, checkpoint: str, available_now: bool = False, commits_a_trigger: int = 64) -> StreamingQuery:
+        """Follow the store at path. A checkpoint that was used before goes on where it was left, whatever from_seq says."""
+        notes = Files(spark, checkpoint)
+        notes.make("position")
+        seen = [int(n) for n in notes.names("position") if n.isdigit()]
+        self.last = max([self.last, *seen])
+
+        def on_commit(manifest: Manifest) -> None:
+            if manifest.next_seq <= self.last + 1:
+                return
+            before = self.last
+            self(records_after(spark, path, manifest, self.last))
+            if self.last < manifest.next_seq - 1:  # the newest ones are gone already
+                self.last = manifest.next_seq - 1
+            notes.write_new("", "position", f"{self.last:020d}")
+            if before in seen:
+                notes.delete("position", f"{before:020d}")
+            seen.append(self.last)
+
+        return follow(spark, path, on_commit, checkpoint, available_now, commits_a_trigger)
 
 
 def watch_key(key: Any) -> Column:
@@ -104,12 +147,17 @@ class Replica:
         prefix = contiguous(batch, self.applied)
         n = prefix.count()
         if n:
-            self.store._append(prefix, n)
+            self.store.append_records(prefix, n)
         self.gapped = n < waiting
 
-    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-        writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    def start(self, spark: SparkSession, path: str, checkpoint: str, available_now: bool = False, commits_a_trigger: int = 64) -> StreamingQuery:
+        """Follow the primary at path. What is applied is known from the replica's own manifest, so a restart goes on from there."""
+
+        def on_commit(manifest: Manifest) -> None:
+            if manifest.next_seq - 1 > self.applied:
+                self(records_after(spark, path, manifest, self.applied))
+
+        return follow(spark, path, on_commit, checkpoint, available_now, commits_a_trigger)
 
 
 def caught_up(query: StreamingQuery, replica: Replica, primary_next_seq: int) -> bool:

@@ -109,9 +109,27 @@ def test_global_rank_of_strings_and_large_ranks(spark, monkeypatch):
     df = spark.createDataFrame([(n,) for n in names], "key string")
     assert [r["key"] for r in order.global_rank(df, "key").orderBy("rank").collect()] == sorted(names)
     monkeypatch.setattr(order, "TOP", 10)
+    monkeypatch.setattr(order, "ROWS_A_RANGE", 50)
+    assert [r["key"] for r in order.global_rank(df, "key").orderBy("rank").collect()] == sorted(names)
+    assert {r["pct"]: r["key"] for r in order.percentile_keys(df, [0, 33, 100]).collect()} == {0: min(names), 33: sorted(names)[989], 100: max(names)}
     assert order.nth_key(df, 2500).first()["key"] == sorted(names)[2499]
 
 
+def test_no_range_holds_much_more_than_its_share(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS_A_RANGE", 1000)
+    rows = order._hashed(spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_orderpriority"))
+    by = order._order(rows, "o_orderpriority", None)
+    n = rows.count()
+    number, several = order._ranges(rows, by, n)
+    held = [r["count"] for r in rows.groupBy(number.alias("r")).count().collect()]
+    assert several == len(held) == -(-n // 1000) and max(held) <= 2 * n / several
+    ranked = order.global_rank(rows.drop("__row_hash"), "o_orderpriority").collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, n + 1))
+    assert [r["o_orderpriority"] for r in sorted(ranked, key=lambda r: r["rank"])] == sorted(r["o_orderpriority"] for r in ranked)
+    nulls = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(5000)], "k long, v double")
+    assert [r["v"] is None for r in order.global_rank(nulls, "v").orderBy("rank").collect()] == [True] * 3333 + [False] * 1667
+
+
 def spans(spark, seed=42, n=400):
     r = random.Random(seed)
     rows = [(i, (s := r.randrange(200)), s + r.choice([0, 3, 29, 150]), r.randrange(40)) for i in range(n)]
