@@ -21,6 +21,7 @@ def main() -> None:
     last = views.event_log(spark, SF).agg({"segment_id": "max"}).first()[0]
     batch = {
         # the nearest batch shape of each published figure
+        "cold_build": lambda: stored.built(spark, SF),
         "resolve_full_log": lambda: resolve.live_set(views.event_log(spark, SF, dense=True)),
         "ordered_scan": lambda: resolve.live_set(views.event_log(spark, SF, dense=True)).orderBy("key"),
         "range_129_keys": lambda: lookup.key_range(views.event_log(spark, SF, dense=True), 5000, 5128),

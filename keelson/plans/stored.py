@@ -118,6 +118,13 @@ def _stored(spark: SparkSession, sf_dir: str, dense: bool = False, options: Opti
     return store
 
 
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events put into a new store in one commit: what a cold build writes; its segments' sizes."""
+    store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value())
+    store.apply(_rows(spark, sf_dir))
+    return spark.createDataFrame([(s.segment_id, s.records, s.bytes) for s in store.manifest.segments], "segment_id int, records long, bytes long")
+
+
 @query(BASE + "SELECT k AS key, seq, et AS event_type FROM live")
 def stored_live_set(spark, sf_dir):
     store = _stored(spark, sf_dir)
