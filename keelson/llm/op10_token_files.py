@@ -8,11 +8,13 @@ each block repeats, so a block is never read with another dictionary. To read on
 first_doc and last_doc enclose it, cut its frame out by the offsets and decompress that alone: read_document() does so.
 
 Documents are dealt by ranges of doc_id (quantiles of doc_id alone), sorted within each range, and blocks never cross a
-range; a document's start is the sum of the tokens of all earlier ranges and of earlier documents in its own.
+range; a document's start is the sum of the tokens of all earlier ranges and of earlier documents in its own. Files follow
+each other in doc_id order too: a range is never in two files, and later ranges are in files of later names.
 
 Defined results: a null text counts as empty; such documents hold the end id alone. Rows without a doc_id come first.
 Rows with the same doc_id follow each other in an order fixed by their hash. A long text is one frame. An empty table
-gives empty files and no row. Columns of the input other than doc_id and text are neither read nor returned.
+gives empty files and no row. Where zstandard finds too little to train on (a few short documents), there is no dictionary:
+its bytes are empty, its hash is theirs, and frames are compressed without one. Columns of the input other than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -80,7 +82,9 @@ def write(docs: DataFrame, path: str, end: int = END) -> TokenFiles:
     to = TokenFiles(table_path(spark, "token-blocks"), table_path(spark, "token-dictionary"))
     spark.createDataFrame([(name, raw)], "hash string, dictionary binary").write.parquet(to.dictionary)
     ranges = 4 * partitions(spark)
-    bounds = np.array(sorted({int(x) for x in docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}), np.int64)
+    # One sketch of the ids, whose size grows with the ranges alone.
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = np.array(sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 20 * ranges)).first()[0] or [])), np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, compress = encoder(WordEncoder, path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw, compress=True)).compress
@@ -124,7 +128,8 @@ def write(docs: DataFrame, path: str, end: int = END) -> TokenFiles:
             yield close()
 
     framed = docs.select("doc_id", "text").mapInArrow(frames, "doc_id long, tokens long, frame binary, bucket int")
-    dealt = framed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"))
+    tasks = partitions(spark)
+    dealt = framed.repartitionById(tasks, F.floor(F.col("bucket") * tasks / (len(bounds) + 1)).cast("int")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"))
     dealt.mapInArrow(blocks, _BLOCK).write.option("compression", "uncompressed").parquet(to.blocks)
     return to
 

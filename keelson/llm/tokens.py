@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import single_thread, slices
 #: Chunks and pieces kept by a worker; at this bound the least recently met go. It bounds memory, not what is encoded.
 MOST_CHUNKS = 600_000
 MOST_PIECES = 300_000
-#: Characters that go the long way: beyond Latin Extended-B, controls, odd spaces, the dotted capital I, and a special token's start.
+#: Characters that go the long way: beyond Latin Extended-B, controls, odd spaces, the dotted capital I, and a common start of special tokens.
 ODD = r"[^\n\r\t -~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]|<\|"
 #: The files' own patterns of pieces (fixed values).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -44,6 +45,10 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.file = json.load(f)
+        #: Texts that hold a special token's string go the long way too.
+        self.odd = "|".join([ODD, *sorted(re.escape(t["content"]) for t in self.file["added_tokens"])])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -54,7 +59,7 @@ class _Encoder:
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, offsets) of a string array; a null text has no ids."""
         text = text.fill_null("")
-        odd = pc.match_substring_regex(text, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(text, self.odd).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self.plain(text)
         out, offsets = self.plain(pc.if_else(pa.array(odd), "", text))
@@ -74,11 +79,9 @@ class ByteEncoder(_Encoder):
         super().__init__(path)
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        special = {t["content"] for t in found["added_tokens"]}
+        special = {t["content"] for t in self.file["added_tokens"]}
         back = {letter: b for b, letter in byte_letters().items()}
-        ranks = {bytes(map(back.__getitem__, k)): v for k, v in found["model"]["vocab"].items() if k not in special}
+        ranks = {bytes(map(back.__getitem__, k)): v for k, v in self.file["model"]["vocab"].items() if k not in special}
         self.merge = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def plain(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

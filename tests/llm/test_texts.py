@@ -500,6 +500,9 @@ def test_token_files(spark, documents):
         r = got[doc]
         assert (r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) == (at, len(want), want)
         at += len(want)
+    parts = spark.read.parquet(files.blocks).select(F.col("_metadata.file_name").alias("file"), "first_doc", "last_doc").collect()
+    order = [(r["first_doc"], r["last_doc"]) for r in sorted(parts, key=lambda r: (r["file"], r["first_doc"]))]
+    assert len({r["file"] for r in parts}) > 1 and order == sorted(order)  # files follow each other in doc_id order
     assert tokens_out.read_document(spark, files, 10_004) == [[*tokenizer.encode("x", add_special_tokens=False).ids, 2]]
     assert tokens_out.read_document(spark, files, 5) == []
 
