@@ -67,7 +67,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Keys that attach() broadcasts at most.
-HOTTEST = 100_000
+HOTTEST = 10_000
 
 
 def attach(rows: DataFrame, counted: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -36,7 +36,8 @@ from .common import Words, as_signed, attach, components, discard, documents, gr
 
 VALUES = 48
 CHUNK = 4
-BLOCK = 512
+#: Rows of a block of a hub's members, and of a block of those in its largest component.
+BLOCK, MAIN_BLOCK = 256, 128
 #: Members that are confirmed against one text in one group of rows.
 FAN = 64
 _FLIP, _FACTOR = stream(11, VALUES), stream(12, VALUES) | np.uint64(1)
@@ -151,9 +152,8 @@ def more_links(tested: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     labelled = tested.drop("linked").join(parts, "id", "left").withColumn("part_of", F.coalesce("component", "id"))
     each = labelled.groupBy("hub", "part_of").agg(F.count("*").alias("n"))
     state = each.groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part_of")).alias("most"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     # Rows of the largest component (main) have blocks of their own, after the others', and meet only the others.
-    todo = state.where("most.n < n").select("hub", "n", F.col("most.part_of").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("few"), blocks(F.col("most.n")).alias("many"))
+    todo = state.where("most.n < n").select("hub", "n", F.col("most.part_of").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most.n") / MAIN_BLOCK).cast("int").alias("many"))
     todo = materialize(todo, "split-hubs")
     drawn = F.xxhash64("id", F.lit(3))
     dealt = attach(labelled, todo, "hub").withColumn("is_main", F.col("part_of") == F.col("main"))
@@ -222,11 +222,13 @@ def link(docs: DataFrame, k: int, percent: int = 80) -> tuple[DataFrame, DataFra
     stars = materialize(attach(entries, shared, "key").where("id != hub").select("id", "hub").distinct(), "pairs")
     discard(shared)
     tested = confirm(docs, stars, k, percent)
+    discard(stars)
     links = tested.where("linked").select("id", "hub")
     parts = components(links, "id", "hub")
     more = materialize(more_links(tested, parts, percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more), "id", "hub")
+    discard(tested, more)
     rows = prints.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"], "left")
     return rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), parts
 
