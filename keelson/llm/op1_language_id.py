@@ -22,7 +22,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import documents, fresh, letters
@@ -100,27 +99,23 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred string, score double, margin double, rejected boolean; clashing columns of the input are replaced."""
-    own = ("lang_pred", "score", "margin", "rejected")
-    docs = docs.drop(*own)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(dictionaries)  # bounded: DICTIONARY_BYTES a language
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    kept, names = docs.columns, schema.names
-    some_letters, plain_text = fresh(docs.columns, "letters"), fresh(docs.columns, "plain")
-    flagged = docs.withColumn(some_letters, letters(F.col("text"))).withColumn(plain_text, plain(F.col("text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.drop("lang_pred", "score", "margin", "rejected")
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DICTIONARY_BYTES a language
+
+    @F.arrow_udf("lang_pred string, score double, margin double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(held.value)
-        for b in batches:
-            some = b.column(some_letters).to_pylist()
-            text = b.column(plain_text)
-            found = [model.predict(text[i].as_buffer()) if ok else ("und", 0.0, 0.0) for i, ok in enumerate(some)]
+        for text in texts:  # null where there is no letter
+            found = [model.predict(t.as_buffer()) if t.is_valid else ("und", 0.0, 0.0) for t in text]
             langs, scores, margins = zip(*found, strict=True) if found else ((), (), ())
-            columns = [b.column(k) for k in kept]
-            columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([k == "und" or m < margin for k, m in zip(langs, margins, strict=True)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return flagged.mapInArrow(run, schema)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["lang_pred", "score", "margin"])
+
+    # Only letters travel to Python, and back come three values; not deterministic by name, so that it isn't run twice.
+    at = fresh(docs.columns, "found")
+    found = docs.withColumn(at, predict.asNondeterministic()(F.when(letters(F.col("text")), plain(F.col("text")))))
+    of = F.col(at)
+    rejected = (of["lang_pred"] == "und") | (of["margin"] < margin)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], of["lang_pred"].alias("lang_pred"), of["score"].alias("score"), of["margin"].alias("margin"), rejected.alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
