@@ -10,11 +10,15 @@ and its score the sum of its pieces' scores in the file. Two things keep the exa
   better ones before it. Over the lattice of these units a backward A-star search, guided by the forward Viterbi scores
   (exact, so no path is expanded in vain), gives the n best in order.
 
+A very long text is segmented in stretches of about LONG letters, cut between units, since every path passes through such
+a node; the n best of the whole are the n best sums over the stretches' own n best, so the result is exact and only one
+stretch is worked on at a time. (A single unit, a run of letters in which all neighbours stand in a piece, isn't cut.)
+
 As in the file's own settings, a text gets a space in front, spaces become U+2581, and a character without a piece is
 spelled in byte pieces at a score of 10 below the lowest. Decoding joins the pieces and takes back all of that.
 
 Defined results: a null or empty text has one segmentation, without pieces and of score 0. A text with fewer than n
-segmentations gives them all. Ties are in an order fixed by the search. A text that itself holds U+2581 decodes it as a
+segmentations gives them all. Equal scores are in an order fixed by the search, the same in every run. A text that itself holds U+2581 decodes it as a
 space. Repeated rows are each encoded; an empty table gives no row. Columns of the input other than doc_id and text are
 neither read nor returned.
 """
@@ -37,6 +41,8 @@ SPACE = "▁"
 UNUSABLE = -1e8
 #: Units kept by a worker; at this bound it starts anew. It bounds memory, not what is encoded.
 MOST_UNITS = 500_000
+#: Letters that are segmented at once; longer texts go in stretches.
+LONG = 2_000_000
 #: Characters of new units that are solved together.
 TOGETHER = 150_000
 _NONE = -1e18
@@ -252,9 +258,31 @@ class Segmenter:
     def nbest(self, texts: list[str | None], n: int) -> list[list[tuple[float, np.ndarray]]]:
         """(score, piece ids) of the n best segmentations of each text, best first."""
         whole = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
+        out = self._nbest([w if len(w) <= LONG else "" for w in whole], n)
+        for i, w in enumerate(whole):
+            if len(w) > LONG:
+                out[i] = self._in_stretches(w, n)
+        return out
+
+    def _in_stretches(self, whole: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a long text: of the sums over its stretches the n best, one stretch after another."""
+        letter, joined = self.pieces.letter, self.pieces.joined
+        best: list[tuple[float, list[np.ndarray]]] = [(0.0, [])]
+        at = 0
+        while at < len(whole):
+            end = min(at + LONG, len(whole))
+            while end < len(whole) and joined[letter[ord(whole[end - 1])], letter[ord(whole[end])]]:
+                end += 1
+            found = self._nbest([whole[at:end]], n)[0]
+            sums = sorted(((-a - b, i, j) for i, (a, _) in enumerate(best) for j, (b, _) in enumerate(found)))[:n]
+            best = [(-s, [*best[i][1], found[j][1]]) for s, i, j in sums]
+            at = end
+        return [(s, np.concatenate(parts)) for s, parts in best]
+
+    def _nbest(self, whole: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
         joined = "".join(whole)
         if not joined:
-            return [[(0.0, np.zeros(0, np.int32))] for _ in texts]
+            return [[(0.0, np.zeros(0, np.int32))] for _ in whole]
         letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in whole])])
         kind = self.pieces.letter[letters]
@@ -278,7 +306,7 @@ class Segmenter:
         of_text = np.searchsorted(first, bounds)
         scores, gaps = np.concatenate([[0.0], np.cumsum(self.score[unit])]), self.gap[unit]
         out = []
-        for i in range(len(texts)):
+        for i in range(len(whole)):
             a, b = int(of_text[i]), int(of_text[i + 1])
             best, ids = float(scores[b] - scores[a]), flat[ends[a] : ends[b]]
             found = [(best, ids)]
