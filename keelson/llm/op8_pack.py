@@ -46,32 +46,17 @@ def patterns(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ..
     top = 0  # no pack has more room than this
     for size in sorted((s for s, n in histogram.items() if n), reverse=True):
         n = histogram[size]
-        grown: list[tuple[int, tuple[int, ...], int]] = []
         room = top
-        while n and room >= size:
+        while n and room >= size:  # what has grown has less room and is met again on the way down
             while n and packs[room]:
                 pattern, count = packs[room].pop()
                 used = min(n, count)
                 if count > used:
                     packs[room].append((pattern, count - used))
-                grown.append((room - size, (*pattern, size), used))
+                packs[room - size].append(((*pattern, size), used))
                 n -= used
             if n:
                 room -= 1
-        # A pack that has just grown is the shortest again only once all others have: the rest goes on from there.
-        while n and grown:
-            grown.sort()
-            left, pattern, count = grown[-1]
-            if left < size:
-                break
-            grown.pop()
-            used = min(n, count)
-            if count > used:
-                grown.append((left, pattern, count - used))
-            grown.append((left - size, (*pattern, size), used))
-            n -= used
-        for left, pattern, count in grown:
-            packs[left].append((pattern, count))
         if n:
             each = length // size  # new packs hold this size alone
             whole, rest = divmod(n, each)
