@@ -414,6 +414,46 @@ def test_n_best_equals_brute_force(segmenter, n):
         assert all(segmenter.decode(ids) == (text or "") for _, ids in found)
 
 
+def test_long_texts_go_in_stretches(monkeypatch, segmenter):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdeth on.,\n é1'ß語") for _ in range(rng.randrange(1, 60))) for _ in range(120)] + ["x" * 40, "a b " * 20]
+    want = segmenter.nbest(texts, 3)
+    monkeypatch.setattr(piece, "LONG", 7)
+    for text, found, whole in zip(texts, segmenter.nbest(texts, 3), want, strict=True):
+        assert np.allclose([s for s, _ in found], [s for s, _ in whole], atol=1e-6)
+        assert len({tuple(ids.tolist()) for _, ids in found}) == len(found) and all(segmenter.decode(ids) == text for _, ids in found)
+
+
+def test_sentencepiece_query_equals_its_parts(spark):
+    """The registered query's columns, from brute force over short documents and the library's own decoding."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    made, library = piece.Segmenter(path), SentencePieceProcessor(model_file=path)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = defaultdict(list)
+    for r in piece.query(spark, "/root/testdata/sf0.001").collect():
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(docs)
+    for doc, text in docs.items():
+        rows = sorted(got[doc], key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)
+        assert all(r["decoded_crc32"] == zlib.crc32((text or "").encode()) for r in rows)
+        for r, (score, ids) in zip(rows, made.nbest([text], 3)[0], strict=True):
+            assert (r["n_pieces"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) and abs(r["score"] - score) < 1e-6
+            assert library.decode(ids.tolist()) == text or "\u2581" in text or text != text.strip()
+        if text and len(text) < 400:
+            want = brute_segmentations(text, made.pieces, 3)
+            assert np.allclose([r["score"] for r in rows], [s for s, _ in want[:3]], atol=1e-6)
+
+
+def test_equal_scores_come_in_the_same_order_every_time(spark, documents):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, "aa bb aa bb zz zz") for i in range(4)]
+    runs = [sorted((r["doc_id"], r["rank"], bytes(r["ids"])) for r in piece.encode(documents(rows), path, 4).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len({x[1:] for x in runs[0]}) == 4
+
+
 def test_sentencepiece_operator(spark, documents):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = [(i, t) for i, t in enumerate(ODD)] + [(0, "again"), (None, "word and more " * 30_000)]
@@ -456,6 +496,32 @@ def test_patterns_hold_every_piece_and_little_else(seed):
     assert pack.patterns({}, 1024) == []
 
 
+def brute_patterns(histogram, length):
+    """Plain shortest-pack-first, a piece at a time: longest pieces first, each into the shortest pack with room."""
+    packs = []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            k = min(range(len(packs)), key=lambda i: sum(packs[i]), default=None)
+            if k is None or sum(packs[k]) + size > length:
+                packs.append([size])
+            else:
+                packs[k].append(size)
+    return Counter(tuple(p) for p in packs)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_equal_brute_force(seed):
+    rng = random.Random(seed)
+    histogram = {s: rng.randrange(1, 12) for s in rng.sample(range(1, 65), rng.randrange(1, 40))}
+    found, want = pack.patterns(histogram, 64), brute_patterns(histogram, 64)
+    assert sum(n for _, n in found) == sum(want.values())
+    rooms = [Counter(), Counter()]
+    for at, each in zip(rooms, (found, want.items()), strict=True):
+        for p, n in each:
+            at[64 - sum(p)] += n
+    assert rooms[0] == rooms[1]  # packs of equal length may have changed places, no more
+
+
 def check_packed(rows, ids):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
