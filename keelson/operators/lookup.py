@@ -22,6 +22,11 @@ def get(log: DataFrame, key: Any) -> DataFrame:
     return live_set(log.where(F.col("key") == F.lit(key)))
 
 
+def record_at(log: DataFrame, seq: int) -> DataFrame:
+    """The one record with this seq, tombstone or not; none if it was compacted away. The predicate reaches the scan."""
+    return log.where(F.col("seq") == F.lit(seq))
+
+
 def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     """Every row of keys (column key) with the live columns of its key, null if it has none. Only the keys' records are resolved."""
     asked = keys.select("key").distinct()

@@ -117,7 +117,7 @@ def delta_scan(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log WHERE seq = 4321")
 def positional_read(spark, sf_dir):
-    return views.event_log(spark, sf_dir).where("seq = 4321").select("seq", "key", "deleted")
+    return lookup.record_at(views.event_log(spark, sf_dir), 4321).select("seq", "key", "deleted")
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key FROM log WHERE NOT (seg = 3 AND seq >= 3300)")

@@ -315,15 +315,20 @@ class Store(View):
     # --- copies ---
 
     def backup(self, target: str) -> int:
-        """Copy the files that the manifest names, then the manifest; its generation. Later writes don't reach the copy."""
+        """Copy the segments that the manifest names, then the manifest; its generation. Later writes don't reach the copy.
+
+        The copy is a job of its own, spread over the executors, and holds the same records and checksums under new folders.
+        """
         to = Files(self.spark, target)
-        for s in self.manifest.segments:
-            to.make(s.folder.rsplit("/", 1)[0])
-            self.files.copy(to, s.folder)
-        if self.manifest.checkpoint:
-            to.make("checkpoints")
-            self.files.copy(to, self.manifest.checkpoint[1])
-        if not manifests.publish(to, self.manifest):
+        if manifests.load(to, self.manifest.generation):
+            raise StoreError(f"{target} holds this generation already")
+        folder, checkpoint = f"{segments.FOLDER}/backup-{uuid.uuid4().hex}", self.manifest.checkpoint
+        if self.manifest.segments:
+            segments.scan(self.files, self.manifest, self.schema).withColumn("part", F.col("segment_id")).sortWithinPartitions("part", "seq").write.partitionBy("part").parquet(f"{to.base}/{folder}")
+        if checkpoint:
+            self.spark.read.parquet(f"{self.files.base}/{checkpoint[1]}").write.parquet(f"{to.base}/{checkpoint[1]}")
+        copied = tuple(replace(s, folder=f"{folder}/part={s.segment_id}") for s in self.manifest.segments)
+        if not manifests.publish(to, replace(self.manifest, segments=copied)):
             raise StoreError(f"{target} holds this generation already")
         return self.manifest.generation
 

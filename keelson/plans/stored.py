@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from keelson.functions.records import Options
 from keelson.operators import resolve
+from keelson.operators.indexes import IndexSet
 from keelson.sources import files
 from keelson.sources import log as segments
 from keelson.sources.scratch import scratch
@@ -216,3 +217,18 @@ def store_stats(spark, sf_dir):
     found = _stored(spark, sf_dir, dense=True).stats()
     names = ("records", "live", "bytes", "garbage_bytes", "next_seq")
     return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS attribute FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey BETWEEN 100 AND 300 UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 AND o_custkey + 1 BETWEEN 100 AND 300")
+def indexed_store(spark, sf_dir):
+    """An indexed store after puts, puts that replace others, deletes, and a batch that is refused as a whole."""
+    rows = views.orders(spark, sf_dir).select("key", F.col("o_custkey").alias("value"))
+    store = Store.create(spark, scratch(spark, "indexed"), T.LongType(), T.LongType(), indexes=IndexSet().secondary("customer", F.col("value")))
+    store.put_all(rows)
+    store.put_all(rows.where("key % 7 = 0").withColumn("value", F.col("value") + 1))
+    store.delete_all(rows.where("key % 3 = 0").select("key"))
+    try:
+        store.put_all(rows.limit(5).withColumn("value", F.lit(None).cast("long")))
+    except ValueError:
+        pass
+    return store.by_attribute("customer", 100, 300).select("key", "attribute")

@@ -85,7 +85,3 @@ class Files:
     def delete(self, *parts: str) -> None:
         p = self.path(*parts)
         self._fs(p).delete(p, True)
-
-    def copy(self, to: Files, *parts: str) -> None:
-        a, b = self.path(*parts), to.path(*parts)
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs(a), a, to._fs(b), b, False, self._conf)
