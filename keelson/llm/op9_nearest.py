@@ -1,12 +1,17 @@
 """Nearest neighbours by collision counting: query-centred windows over sorted single projections.
 
 Rows are dealt by hash into blocks of about BLOCK rows. In a block every one of PROJECTIONS random lines has its rows'
-projections in a sorted array. A query's window on each line is centred at its own projection; windows start narrow and
-widen by the factor WIDEN (virtual rehashing), and each step counts only the rows newly covered. A row met by half of the windows
-is verified by its cosine; a query's windows stop once a part ENOUGH of the block (100 rows a wanted one at least) has been verified. Each block gives
-its best rows, and the best of all blocks are the answer. Queries meet every block, in blocks of their own.
+projections in a sorted array. A query's window on each line is centred at its own projection and covers a stretch of
+ranks in the sorted array; a row's collisions are the lines on which its rank lies in the window. Windows start at NARROW
+and widen by the factor WIDEN (virtual rehashing) until enough rows, a part ENOUGH of the block or 60 a wanted one,
+collide on the part COLLIDE of the lines. Those with the most collisions, so many, are verified by their cosine. Each
+block gives its best rows, and the best of all blocks are the answer. Queries meet every block, in blocks of their own.
 
-Recall, measured against brute force on 51,282 rows of 64 dimensions without structure (the hardest case): 0.98.
+Arrays are sorted within blocks rather than over all rows: vectors without structure need windows that hold half of all
+rows, so global arrays would send each query half of all rows on every line, where a block counts them in place.
+
+Recall, measured against brute force on 51,282 rows of 64 dimensions without structure (the hardest case): 0.99, with
+7 % of the rows verified.
 
 Queries meet vectors of their own length, each length in blocks of its own.
 
@@ -30,11 +35,12 @@ from .vectors import dimensions, matrix, unit, usable
 
 BLOCK = 4096
 QUERY_BLOCK = 4096
-PROJECTIONS = 128
+#: At most 255, so that collisions are counted in bytes.
+PROJECTIONS = 192
 COLLIDE = 0.5
-WIDEN = 1.2
-NARROW = 0.2
-ENOUGH = 0.12
+NARROW = 1.2
+WIDEN = 1.25
+ENOUGH = 0.06
 
 
 def lines(d: int, n: int) -> np.ndarray:
@@ -47,33 +53,35 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray,
     """(query row, id, cosine) of the best k of the block for each query; x and q are unit rows, own the queries' ids."""
     n = len(x)
     a = lines(x.shape[1], projections)
-    p, at = x @ a, q @ a
-    order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
-    p = np.take_along_axis(p.T, order, axis=1)
-    least, goal = math.ceil(COLLIDE * projections), min(n, max(math.ceil(ENOUGH * n), 100 * k))
-    edges: list[tuple[np.ndarray, np.ndarray]] = []  # by step: first and last rank of every query's window on each line
+    p, at = (x @ a).T, (q @ a).T
+    order = np.argsort(p, axis=1, kind="stable")
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    rank = np.empty((projections, n), kind)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=kind), rank.shape), axis=1)
+    p = np.take_along_axis(p, order, axis=1)
+    least, goal = math.ceil(COLLIDE * projections), min(n, max(math.ceil(ENOUGH * n), 60 * k))
+    edges: list[tuple[np.ndarray, np.ndarray]] = []  # by step: first rank and length of every query's window on each line
 
     def window(step: int) -> tuple[np.ndarray, np.ndarray]:
         while len(edges) <= step:
             half = NARROW * WIDEN ** len(edges)
-            edges.append(tuple(np.stack([np.searchsorted(p[j], at[:, j] + s, how) for j in range(projections)], axis=1) for s, how in ((-half, "left"), (half, "right"))))
+            low, high = (np.stack([np.searchsorted(p[j], at[j] + s, how) for j in range(projections)], axis=1) for s, how in ((-half, "left"), (half, "right")))
+            edges.append((low.astype(kind), (high - low).astype(kind)))
         return edges[step]
 
     out = []
     for i in range(len(q)):
-        counts, step, low, high = np.zeros(n, np.int64), 0, None, None
+        others, step = ids != own[i], 0
         while True:
-            lows, highs = window(step)
-            new_low, new_high = lows[i], highs[i]
-            if low is None:
-                parts = [order[j, x:y] for j, (x, y) in enumerate(zip(new_low, new_high, strict=True))]
-            else:
-                parts = [order[j, x:y] for j, (x, y) in enumerate(zip(new_low, low, strict=True))] + [order[j, x:y] for j, (x, y) in enumerate(zip(high, new_high, strict=True))]
-            counts += np.bincount(np.concatenate(parts), minlength=n)
-            met = np.flatnonzero((counts >= least) & (ids != own[i]))
-            if len(met) >= goal or (new_low == 0).all() and (new_high == n).all():
+            low, size = (w[i][:, None] for w in window(step))
+            # A rank under `low` wraps around to a large number, so one comparison tells both sides.
+            counts = (rank - low < size).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            met = np.flatnonzero((counts >= least) & others)
+            if len(met) >= goal or (size == n).all():
                 break
-            low, high, step = new_low, new_high, step + 1
+            step += 1
+        if len(met) > goal:
+            met = met[counts[met] >= np.partition(counts[met], len(met) - goal)[len(met) - goal]]
         cosine = np.einsum("ij,j->i", x[met], q[i])
         best = np.lexsort((ids[met], -cosine))[:k]
         out.append((np.full(len(best), i), ids[met][best], cosine[best]))
