@@ -11,12 +11,14 @@ from keelson.operators import resolve
 from keelson.operators.indexes import IndexSet
 from keelson.sources import files
 from keelson.sources import log as segments
+from keelson.sources import manifest as manifests
 from keelson.sources.scratch import scratch
+from keelson.sources.workload import workload
 from keelson.streaming import tail
 
 from . import views
 from .catalogue import BASE, BASE_DENSE, DENSE, LIVE, LOG, query
-from .store import Store
+from .store import Store, StoreError
 
 #: The first commit of a stored log holds the records before this one.
 HALF = 5000
@@ -232,3 +234,92 @@ def indexed_store(spark, sf_dir):
     except ValueError:
         pass
     return store.by_attribute("customer", 100, 300).select("key", "attribute")
+
+
+def _live(store: Store) -> DataFrame:
+    return store.live.select("key", "seq", F.col("value.event_type").alias("event_type"))
+
+
+_LIVE_ROWS = BASE + "SELECT k AS key, seq, et AS event_type FROM live"
+
+
+@query(_LIVE_ROWS)
+def interrupted_commit(spark, sf_dir):
+    """A writer that died before its manifest leaves a batch that no reader sees, and a later writer isn't hindered by it."""
+    store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value())
+    rows = _rows(spark, sf_dir)
+    store.apply(rows.where(F.col("ordinal") < HALF))
+    segments.write_segments(store.files, store.log.limit(9).withColumn("seq", F.col("seq") + 10**9).withColumn("segment_id", F.lit(1)))
+    again = Store.open(spark, store.files.base)
+    again.apply(rows.where(F.col("ordinal") >= HALF))
+    return _live(Store.open(spark, store.files.base))
+
+
+@query(_LIVE_ROWS)
+def racing_writers(spark, sf_dir):
+    """Of two writers on the same state one commits and the other is refused; neither a compaction of the old state goes through."""
+    store = _stored(spark, sf_dir)
+    late = Store.open(spark, store.files.base)
+    store.checkpoint()
+    try:
+        late.put_all(spark.createDataFrame([(1, ("never", "never"))], T.StructType([T.StructField("key", T.LongType()), T.StructField("value", _value())])))
+    except StoreError:
+        pass
+    late.compact()
+    return _live(Store.open(spark, store.files.base))
+
+
+@query("SELECT n AS generation, n = CASE WHEN (SELECT max(event_id) FROM events) >= 5000 THEN 4 ELSE 3 END AS newest FROM range(1, CASE WHEN (SELECT max(event_id) FROM events) >= 5000 THEN 5 ELSE 4 END) t(n)")
+def manifest_list(spark, sf_dir):
+    """Generations of a store after its creation, its commits and a checkpoint; an empty batch makes none, and a damaged manifest is passed over."""
+    store = _stored(spark, sf_dir)
+    store.checkpoint()
+    top = manifests.next_generation(store.files)
+    store.files.write_new("{damaged", manifests.FOLDER, f"manifest-{top:08d}.json")
+    found = [(g, g == manifests.latest(store.files).generation) for g in manifests.generations(store.files) if manifests.load(store.files, g)]
+    return spark.createDataFrame(found, "generation long, newest boolean")
+
+
+@query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log")
+def listener_isolation(spark, sf_dir):
+    """A listener that fails stops neither its own tail nor another."""
+    store = _stored(spark, sf_dir)
+
+    def fail(rows: DataFrame, gap: bool) -> None:
+        raise ValueError("a listener's own trouble")
+
+    failing = tail.Tail(fail)
+    failing.start(spark, store.files.base, f"{scratch(spark, 'tail')}/state", available_now=True, commits_a_trigger=1).awaitTermination()
+    if not failing.errors or failing.last != store.tail_sequence() - 1:
+        raise AssertionError("the failing tail stopped")
+    return _delivered(store).select("seq", "key", "deleted")
+
+
+@query(f"WITH {LOG} SELECT least(count(*), 5000) - 1 AS applied, count(*) - least(count(*), 5000) AS lag, count(*) AS next_seq FROM log")
+def replica_lag(spark, sf_dir):
+    """How far a replica is behind that was made between two commits."""
+    store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value())
+    rows = _rows(spark, sf_dir)
+    store.apply(rows.where(F.col("ordinal") < HALF))
+    replica = tail.Replica.bootstrap(store, scratch(spark, "replica"))
+    store.apply(rows.where(F.col("ordinal") >= HALF))
+    return spark.createDataFrame([(replica.applied, replica.lag(store.tail_sequence()), store.tail_sequence())], "applied long, lag long, next_seq long")
+
+
+@query(_LIVE_ROWS.replace("FROM live", "FROM live WHERE k <> 42") + " UNION ALL SELECT 42, (SELECT count(*) FROM log), 'promoted'")
+def promoted_replica(spark, sf_dir):
+    """A replica's folder opens as a store that takes writes."""
+    primary = _stored(spark, sf_dir)
+    replica = tail.Replica.bootstrap(primary, scratch(spark, "replica"))
+    store = Store.open(spark, replica.store.files.base)
+    store.put_all(spark.createDataFrame([(42, ("promoted", ""))], T.StructType([T.StructField("key", T.LongType()), T.StructField("value", _value())])))
+    return _live(store)
+
+
+@query(None)
+def generated_workload(spark, sf_dir):
+    """The live set after a skewed workload of puts and deletes."""
+    rows = workload(spark, 20_000, 1_000, "skewed")
+    store = Store.create(spark, scratch(spark, "store"), T.LongType(), T.StringType())
+    store.apply(rows)
+    return store.live.select("key", "seq")
