@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import op1_language_id, op4_substring_dedup, op6_minhash_dedup, op8_pack
-from keelson.llm.common import documents, materialize
+from keelson.llm.common import discard, documents, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shingles of the near-duplicate stage, in words, and the similarity of a link in percent.
@@ -75,6 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

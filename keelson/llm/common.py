@@ -35,9 +35,14 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    The table goes when the application ends, or before by discard().
+    """
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
+    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.__dict__["written"] = path
     return found
