@@ -88,6 +88,36 @@ def test_narrow_margins_are_rejected_and_clean_texts_kept(spark):
     assert share["clean"] <= 0.01 and share["unknown"] >= 0.97 and share["mixed"] >= 0.15
 
 
+def test_predictions_equal_brute_force(spark):
+    """Every text against every dictionary, one by one, outside Spark."""
+    import regex
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labelled = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect() if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    model = lang.learn(docs.where(~lang.held_out(F.col("doc_id"))).select("text", "lang"))
+    assert set(model) == {k for _, t, k in labelled if t and regex.search(r"\p{L}", t)}
+    made = {}
+    for k, raw in model.items():
+        params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, **lang.SEARCH)
+        made[k] = (zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), params)
+    got = {r["doc_id"]: r for r in lang.query(spark, sf).collect()}
+    for r in docs.collect():
+        mine = got[r["doc_id"]]
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not r["text"] or not regex.search(r"\p{L}", r["text"]):
+            assert (mine["lang_pred"], mine["score"], mine["rejected"]) == ("und", 0.0, True)
+            continue
+        text = regex.sub(r"[^\p{L}]+", " ", r["text"]).lower().encode()
+        sizes = {k: len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(text)) for k, (d, p) in made.items()}
+        best = min(sizes.values())
+        assert sizes[mine["lang_pred"]] == best
+        second = sorted(sizes.values())[1] if len(sizes) > 1 else None
+        margin = 1.0 if second is None else (second - best) / second
+        assert abs(mine["margin"] - margin) < 1e-9 and mine["rejected"] == (margin < lang.MARGIN)
+
+
 def test_every_language_is_learned_and_ties_are_rejected(documents):
     rows = [(i, " ".join(f"l{i}x{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(12)), f"lang{i}") for i in range(401)]
     model = lang.learn(documents(rows).select("text", "lang"))
