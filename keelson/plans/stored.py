@@ -25,7 +25,7 @@ HALF = 5000
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _delivered(store: Store, from_seq: int = 0, only=None, ring: int = 0, commits_a_trigger: int = 64) -> DataFrame:
+def delivered(store: Store, from_seq: int = 0, only=None, ring: int = 0, commits_a_trigger: int = 64) -> DataFrame:
     """What a tail over a store delivers, gathered in a folder."""
     spark, to = store.spark, scratch(store.spark, "tail")
     columns = ["seq", "key", "deleted", F.col("value.event_type").alias("event_type")]
@@ -39,44 +39,44 @@ _TAILED = f"WITH {LOG} SELECT seq, k AS key, del AS deleted, CASE WHEN NOT del T
 
 @query(f"{_TAILED} WHERE seq >= 250")
 def tail_from(spark, sf_dir):
-    return _delivered(_stored(spark, sf_dir), 250)
+    return delivered(stored_log(spark, sf_dir), 250)
 
 
 @query(_TAILED)
 def tail_many_files(spark, sf_dir):
     """Commits of many segments, one commit a trigger: every record once, no gap."""
-    return _delivered(_stored(spark, sf_dir, options=Options(segment_bytes=32 << 10)), commits_a_trigger=1)
+    return delivered(stored_log(spark, sf_dir, options=Options(segment_bytes=32 << 10)), commits_a_trigger=1)
 
 
 @query(_TAILED)
 def tail_orphan_batch(spark, sf_dir):
     """A batch that its writer never committed isn't delivered."""
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
     lost = store.log.limit(7).withColumn("seq", F.col("seq") + 10**9).withColumn("segment_id", F.lit(99))
     segments.write_segments(store.files, lost)
-    return _delivered(store)
+    return delivered(store)
 
 
 @query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS back FROM log WHERE seq >= 10) SELECT seq, k AS key, true AS gap FROM n WHERE back <= 100")
 def tail_ring_gap(spark, sf_dir):
     """More records wait than a tail's ring holds: the newest come, and the gap is told."""
-    return _delivered(_stored(spark, sf_dir), 10, ring=100).select("seq", "key", "gap")
+    return delivered(stored_log(spark, sf_dir), 10, ring=100).select("seq", "key", "gap")
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log WHERE k = 42")
 def watch_key(spark, sf_dir):
-    return _delivered(_stored(spark, sf_dir), 0, tail.watch_key(42)).select("seq", "key", "deleted")
+    return delivered(stored_log(spark, sf_dir), 0, tail.watch_key(42)).select("seq", "key", "deleted")
 
 
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log WHERE k BETWEEN 10 AND 20")
 def watch_range(spark, sf_dir):
-    return _delivered(_stored(spark, sf_dir), 0, tail.watch_range(10, 20)).select("seq", "key", "deleted")
+    return delivered(stored_log(spark, sf_dir), 0, tail.watch_range(10, 20)).select("seq", "key", "deleted")
 
 
 @query(BASE + "SELECT k AS key, seq, et AS event_type FROM live")
 def replica_over_stream(spark, sf_dir):
     """A replica that starts empty and follows the primary's commits."""
-    primary = _stored(spark, sf_dir, options=Options(segment_bytes=64 << 10))
+    primary = stored_log(spark, sf_dir, options=Options(segment_bytes=64 << 10))
     to = scratch(spark, "replica")
     replica = tail.Replica(Store.create(spark, f"{to}/store", T.LongType(), _value()))
     replica.start(spark, primary.files.base, f"{to}/state", available_now=True, commits_a_trigger=1).awaitTermination()
@@ -112,7 +112,7 @@ def _rows(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     return log.select("key", F.when(~F.col("deleted"), F.struct("event_type", "props")).alias("value"), "deleted", F.col("seq").alias("ordinal"))
 
 
-def _stored(spark: SparkSession, sf_dir: str, dense: bool = False, options: Options | None = None) -> Store:
+def stored_log(spark: SparkSession, sf_dir: str, dense: bool = False, options: Options | None = None) -> Store:
     """events as a store on disk, in two commits."""
     store = Store.create(spark, scratch(spark, "store"), T.LongType(), _value(), options)
     rows = _rows(spark, sf_dir, dense)
@@ -130,14 +130,14 @@ def built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + "SELECT k AS key, seq, et AS event_type FROM live")
 def stored_live_set(spark, sf_dir):
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
     store.checkpoint()
     return Store.open(spark, store.files.base).live.select("key", "seq", F.col("value.event_type").alias("event_type"))
 
 
 @query(f"WITH {DENSE}, {LIVE} SELECT k AS key, seq, et AS event_type FROM live")
 def stored_compaction(spark, sf_dir):
-    store = _stored(spark, sf_dir, dense=True)
+    store = stored_log(spark, sf_dir, dense=True)
     store.compact()
     return Store.open(spark, store.files.base).live.select("key", "seq", F.col("value.event_type").alias("event_type"))
 
@@ -207,7 +207,7 @@ def backup_restore(spark, sf_dir):
 
 @query("SELECT 1 AS segment_id WHERE (SELECT max(event_id) FROM events) >= 5000")
 def verify_damaged(spark, sf_dir):
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
     for s in store.manifest.segments:
         if s.segment_id == 1:
             store.files.delete(s.folder)
@@ -216,7 +216,7 @@ def verify_damaged(spark, sf_dir):
 
 @query(BASE_DENSE + "SELECT count(*) AS records, (SELECT count(*) FROM live) AS live, sum(bytes)::BIGINT AS bytes, (sum(bytes) - (SELECT sum(bytes) FROM live))::BIGINT AS garbage_bytes, max(seq) + 1 AS next_seq FROM log")
 def store_stats(spark, sf_dir):
-    found = _stored(spark, sf_dir, dense=True).stats()
+    found = stored_log(spark, sf_dir, dense=True).stats()
     names = ("records", "live", "bytes", "garbage_bytes", "next_seq")
     return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
@@ -258,7 +258,7 @@ def interrupted_commit(spark, sf_dir):
 @query(_LIVE_ROWS)
 def racing_writers(spark, sf_dir):
     """Of two writers on the same state one commits and the other is refused; neither a compaction of the old state goes through."""
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
     late = Store.open(spark, store.files.base)
     store.checkpoint()
     try:
@@ -272,7 +272,7 @@ def racing_writers(spark, sf_dir):
 @query("SELECT n AS generation, n = CASE WHEN (SELECT max(event_id) FROM events) >= 5000 THEN 4 ELSE 3 END AS newest FROM range(1, CASE WHEN (SELECT max(event_id) FROM events) >= 5000 THEN 5 ELSE 4 END) t(n)")
 def manifest_list(spark, sf_dir):
     """Generations of a store after its creation, its commits and a checkpoint; an empty batch makes none, and a damaged manifest is passed over."""
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
     store.checkpoint()
     top = manifests.next_generation(store.files)
     store.files.write_new("{damaged", manifests.FOLDER, f"manifest-{top:08d}.json")
@@ -283,7 +283,7 @@ def manifest_list(spark, sf_dir):
 @query(f"WITH {LOG} SELECT seq, k AS key, del AS deleted FROM log")
 def listener_isolation(spark, sf_dir):
     """A listener that fails stops neither its own tail nor another."""
-    store = _stored(spark, sf_dir)
+    store = stored_log(spark, sf_dir)
 
     def fail(rows: DataFrame, gap: bool) -> None:
         raise ValueError("a listener's own trouble")
@@ -292,7 +292,7 @@ def listener_isolation(spark, sf_dir):
     failing.start(spark, store.files.base, f"{scratch(spark, 'tail')}/state", available_now=True, commits_a_trigger=1).awaitTermination()
     if not failing.errors or failing.last != store.tail_sequence() - 1:
         raise AssertionError("the failing tail stopped")
-    return _delivered(store).select("seq", "key", "deleted")
+    return delivered(store).select("seq", "key", "deleted")
 
 
 @query(f"WITH {LOG} SELECT least(count(*), 5000) - 1 AS applied, count(*) - least(count(*), 5000) AS lag, count(*) AS next_seq FROM log")
@@ -309,7 +309,7 @@ def replica_lag(spark, sf_dir):
 @query(_LIVE_ROWS.replace("FROM live", "FROM live WHERE k <> 42") + " UNION ALL SELECT 42, (SELECT count(*) FROM log), 'promoted'")
 def promoted_replica(spark, sf_dir):
     """A replica's folder opens as a store that takes writes."""
-    primary = _stored(spark, sf_dir)
+    primary = stored_log(spark, sf_dir)
     replica = tail.Replica.bootstrap(primary, scratch(spark, "replica"))
     store = Store.open(spark, replica.store.files.base)
     store.put_all(spark.createDataFrame([(42, ("promoted", ""))], T.StructType([T.StructField("key", T.LongType()), T.StructField("value", _value())])))
