@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import attach, materialize
+
 #: Rules of the contract: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Bytes of a digest that expressions and rules are joined on.
 PREFIX = 4
-#: Rules whose hosts, paths and digests take so many bytes at most are broadcast; more are joined by a shuffle.
+#: Rules whose hosts, paths and digests take so many bytes at most are broadcast; more meet the distinct expressions in a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -52,21 +54,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", pref
     digest = _digest(F.col("rule_host"), F.col("rule_path"))
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("length"), F.length("rule_host").alias("host_length"), "rule_host", "rule_path", "rule_verdict")
     keyed = rules.select(F.substring(digest, 1, prefix).alias("bucket"), F.struct(digest.alias("digest"), rank.alias("rank")).alias("rule")).groupBy("bucket").agg(F.collect_set("rule").alias("rules"))
-    # Urls without a host fit nothing and go no further; those that share host and path have one answer, so each pair
-    # is expanded once, and a hot host meets the rules once a path.
-    named = page.where(F.col("host") != "")
-    pairs = named.groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
+    # A url's expressions stay with its row, so no host or url, however hot, is a key of any shuffle; urls without a host
+    # have none.
+    rows = page.withColumn("row", F.monotonically_increasing_id())
+    if size > BROADCAST_BYTES:
+        rows = materialize(rows, "url-rows")  # read more than once below
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
-    both = F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: _digest(h, p))))
-    expressions = pairs.select("host", "path", F.explode(both).alias("digest")).withColumn("bucket", F.substring("digest", 1, prefix))
-    met = expressions.join(F.broadcast(keyed) if size <= BROADCAST_BYTES else keyed, "bucket")
-    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("digest"))
-    best = met.select("host", "path", F.array_max(F.transform(confirmed, lambda r: r["rank"])).alias("best")).where("best IS NOT NULL").groupBy("host", "path").agg(F.max("best").alias("best"))
-    answer = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
-    judged = named.join(answer, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    return judged.union(page.where(F.col("host") == "").select(*default_row))
+    both = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: _digest(h, p)))))
+    expressions = rows.withColumn("digest", F.explode_outer(both)).withColumn("bucket", F.substring("digest", 1, prefix))
+    confirmed = F.array_max(F.transform(F.filter("rules", lambda r: r["digest"] == F.col("digest")), lambda r: r["rank"]))
+    if size <= BROADCAST_BYTES:
+        met = expressions.join(F.broadcast(keyed), "bucket", "left").withColumn("best", confirmed)
+    else:
+        # Each distinct expression meets the rules once; then rows find theirs, the hottest of them by broadcast.
+        each = expressions.where(F.col("digest").isNotNull()).groupBy("bucket", "digest").agg(F.count("*").alias("n"))
+        known = materialize(each.join(keyed, "bucket").select("digest", "n", confirmed.alias("best")).where("best IS NOT NULL"), "url-rules")
+        met = attach(expressions, known, "digest", "left")
+    best = met.groupBy("row", "page_id", "host", "path").agg(F.max("best").alias("best"))
+    return best.select("page_id", "host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
